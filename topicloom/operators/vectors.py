@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,27 +114,34 @@ def weigh(docs: DataFrame, terms: DataFrame, num_docs: Column | int, mode: str =
 
 
 def vectors(docs: DataFrame, terms: DataFrame, num_docs: int | None = None, mode: str = "tfidf") -> DataFrame:
-    """(id, features): sparse MLlib vectors indexed by term_id, without a shuffle.
+    """(id, features, empty): sparse MLlib vectors by term_id, without a shuffle.
 
-    The same weights as :func:`weigh`. The dictionary is a model here: at most
-    keep_n words, held by the driver and sent to each task.
+    The same weights as :func:`weigh`; ``empty`` marks vectors of length zero.
+    The dictionary is a model here: at most keep_n words, held by the driver
+    and sent to each task.
     """
     rows = terms.orderBy("term_id").limit(BROADCAST_ROWS + 1).select("token", "df").collect()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("prune the dictionary with keep_n first")
+    words = [row.token for row in rows]
+    total = docs.count() if num_docs is None and mode == "tfidf" else num_docs
+    weighty = [row.token for row in rows if mode != "tfidf" or row.df < total]
+    # the remover takes the known words out: a document is empty if none goes
+    remover = StopWordsRemover(inputCol="tokens", outputCol="unknown", stopWords=weighty, caseSensitive=True)
     model = CountVectorizerModel.from_vocabulary(
-        [row.token for row in rows], inputCol="tokens", outputCol="counts", binary=mode == "onehot")
-    counted = model.transform(docs.select("id", "tokens"))
+        words, inputCol="tokens", outputCol="counts", binary=mode == "onehot")
+    counted = model.transform(remover.transform(docs.select("id", "tokens")))
+    counted = counted.select("id", "counts", (F.size("unknown") == F.size("tokens")).alias("empty"))
     if mode != "tfidf":
-        return counted.select("id", F.col("counts").alias("features"))
-    total = docs.count() if num_docs is None else num_docs
-    idf = _idf([row.df for row in rows], total)
+        return counted.select("id", F.col("counts").alias("features"), "empty")
+    idf = Vectors.dense(np.log2(total / np.array([row.df for row in rows], dtype=float)))
     weighted = ElementwiseProduct(scalingVec=idf, inputCol="counts", outputCol="raw").transform(counted)
     scaled = Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(weighted)
-    return scaled.select("id", "features")
+    return scaled.select("id", "features", "empty")
 
 
-def _idf(frequencies: list[int], total: int):
-    import numpy as np
-
-    return Vectors.dense(np.log2(total / np.asarray(frequencies, dtype=float)))
+def doc_arrays(doc_term: DataFrame) -> DataFrame:
+    """(id, index, value): one row per document, for array work inside tasks."""
+    pairs = F.sort_array(F.collect_list(F.struct("term_id", "w")))
+    rows = doc_term.groupBy("id").agg(pairs.alias("p"))
+    return rows.select("id", F.col("p.term_id").alias("index"), F.col("p.w").alias("value"))
