@@ -80,7 +80,7 @@ def topic_distance(topics: DataFrame, count: int, mask: DataFrame | None = None)
             .when(F.coalesce("mass", F.lit(0.0)) <= MIN_MASKED_MASS, 1.0)
             .otherwise(1 - cosine))
     ids = topics.sparkSession.range(count)
-    grid = ids.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long").alias("b"))
+    grid = ids.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("b"))
     return grid.join(sums, ["a", "b"], "left").select("a", "b", dist.alias("dist"))
 
 
@@ -211,10 +211,10 @@ def valid_clusters(labelled: DataFrame, min_cores: int) -> DataFrame:
 
 def valid_cores(labelled: DataFrame, valid: DataFrame) -> DataFrame:
     """(topic, label): cores whose only valid neighbouring label is their own."""
-    good = valid.filter("is_valid").agg(F.coalesce(F.collect_set("label"), F.array().cast("array<bigint>")).alias("good"))
-    left = F.array_intersect(F.col("labels").cast("array<bigint>"), F.col("good"))
-    kept = labelled.filter("is_core").join(F.broadcast(good))  # one row
-    return kept.filter(left == F.array(F.col("label").cast("long"))).select("topic", "label")
+    good = valid.filter("is_valid").agg(
+        F.coalesce(F.collect_set("label"), F.array().cast("array<bigint>")).alias("good")).scalar()
+    left = F.array_intersect(F.col("labels").cast("array<bigint>"), good)
+    return labelled.filter("is_core").filter(left == F.array(F.col("label").cast("long"))).select("topic", "label")
 
 
 def stable_topics(topics: DataFrame, cores: DataFrame) -> DataFrame:

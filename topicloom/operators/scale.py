@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 #: A lookup side up to this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -25,33 +27,23 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_no", ranges: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """Dense 0-based numbers in a global order without a one-task sort.
 
-    ``order`` must be unique per row. Range bounds come from a fixed-size
-    hash sample, so they are the same in every attempt and every branch; rows
-    are numbered inside their range and shifted by the sizes of earlier ranges.
+    One range shuffle sorts the rows over all tasks. The sorted table is
+    checkpointed, which fixes its partitions: the number of a row is its place
+    in the partition plus the sizes of the partitions before it.
     """
-    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(order)])
-    keyed = df.withColumn("_key", key)
-    sample = (
-        keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges * 16)
-        .agg(F.sort_array(F.collect_list("_key")).alias("s"))
-        .select(F.filter("s", lambda _, i: i % 16 == 15).alias("_bounds"))
-    )
-    placed = keyed.join(F.broadcast(sample)).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key"))))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    # at most ranges + 1 rows from here to the offsets
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return (
-        placed.drop("_bounds").withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long"))
-        .drop("_range", "_before", "_inside", "_key")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per partition from here to the offsets
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (placed.withColumn("_part", part).withColumn("_place", place)
+            .join(F.broadcast(offsets), "_part")
+            .select(*df.columns, (F.col("_before") + F.col("_place")).cast("long").alias(name)))
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, weight: str,
@@ -60,12 +52,14 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, weight: str,
 
     The ``hot`` heaviest lookup keys (a bounded table) are found by ``weight``;
     their facts are spread over ``salts`` tasks and only their lookup rows are
-    repeated. All other keys are joined as they are.
+    repeated. All other keys are joined as they are. The salt is a hash of the
+    row, so a repeated task sends each row the same way.
     """
     heavy = lookup.orderBy(F.col(weight).desc(), key).limit(hot).select(key, F.lit(salts).alias("_copies"))
-    spread = F.when(F.col("_copies").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    rest = [c for c in facts.columns if c != key] or [key]
+    salted = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*rest), F.lit(salts)))
     left = (facts.join(F.broadcast(heavy), key, "left")
-            .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_copies"))
+            .withColumn("_salt", F.coalesce(salted, F.lit(0)).cast("int")).drop("_copies"))
     right = (lookup.join(F.broadcast(heavy), key, "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)))
              .drop("_copies"))

@@ -13,8 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import DenseVector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -171,8 +170,23 @@ def term_topic_share(topic_term: DataFrame) -> DataFrame:
 
 # --- LSA -----------------------------------------------------------------
 
-def _row_matrix(vectors: DataFrame) -> RowMatrix:
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
+#: Up to this vocabulary the term-by-term matrix is summed in one pass.
+GRAM_TERMS = 4096
+
+
+def _svd(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (as columns) and values of the rows ``features``.
+
+    MLlib's truncated SVD goes over the rows once per Lanczos step; while the
+    vocabulary is small one pass for the Gram matrix does.
+    """
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
+    if rows.numCols() > GRAM_TERMS:
+        svd = rows.computeSVD(k)
+        return svd.V.toArray(), svd.s.toArray()
+    values, columns = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+    largest = np.argsort(values)[::-1][:k]
+    return columns[:, largest], np.sqrt(np.maximum(values[largest], 0.0))
 
 
 def _factors(spark: SparkSession, v: np.ndarray, values: Iterable[float]) -> DataFrame:
@@ -190,8 +204,7 @@ def fit_lsa(vectors: DataFrame, k: int) -> DataFrame:
     """Truncated SVD of the document matrix: (factor, term_id, w, sigma)."""
     kept = non_empty(vectors).persist()
     try:
-        svd = _row_matrix(kept).computeSVD(k)
-        return _factors(vectors.sparkSession, svd.V.toArray(), svd.s.toArray())
+        return _factors(vectors.sparkSession, *_svd(kept, k))
     finally:
         kept.unpersist()
 
@@ -213,19 +226,21 @@ def update_gram(old: DataFrame, new: DataFrame, decay: float = 1.0) -> DataFrame
     return faded.unionByName(new).groupBy("term_i", "term_j").agg(F.sum("v").alias("v"))
 
 
-def lsa_of_gram(table: DataFrame, size: int, k: int) -> DataFrame:
-    """LSA factors from a Gram table: its singular vectors are the term factors."""
-    mirrored = table.unionByName(table.filter(F.col("term_i") < F.col("term_j")).select(
-        F.col("term_j").alias("term_i"), F.col("term_i").alias("term_j"), "v"))
-    rows = by_row(mirrored, "term_i", "term_j", ["v"])
+def update_lsa(factors: DataFrame, new: DataFrame, k: int, size: int, decay: float = 1.0) -> DataFrame:
+    """LSA factors after more documents; the old ones count with weight ``decay``.
 
-    def dense(row):
-        out = np.zeros(size)
-        out[row["index"]] = row["v"]
-        return DenseVector(out)
-
-    svd = RowMatrix(rows.rdd.map(dense)).computeSVD(k)
-    return _factors(table.sparkSession, svd.V.toArray(), np.sqrt(svd.s.toArray()))
+    The old decomposition enters as k rows sigma * factor on top of the new
+    documents, so neither old documents nor a term-by-term table are needed.
+    """
+    spark, rows = factors.sparkSession, {}
+    for row in factors.toLocalIterator():  # k * terms values: the size of the model
+        rows.setdefault(row.factor, np.zeros(size))[row.term_id] = row.w * row.sigma * decay
+    old = spark.createDataFrame([(line.tolist(),) for line in rows.values()], "a array<double>")
+    stacked = old.select(array_to_vector("a").alias("features")).unionByName(non_empty(new).select("features")).persist()
+    try:
+        return _factors(spark, *_svd(stacked, k))
+    finally:
+        stacked.unpersist()
 
 
 def lsa_docs(doc_term: DataFrame, factors: DataFrame, k: int) -> DataFrame:

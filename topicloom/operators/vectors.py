@@ -52,17 +52,24 @@ def prune(terms: DataFrame, num_docs: Column | int, no_below: int = NO_BELOW,
     """(term_id, token, df, cf) of the terms kept, ids by falling frequency.
 
     Kept: df >= no_below, df <= no_above * num_docs, the keep_n most frequent.
-    With keep_n the result is bounded by it and may be broadcast.
+    With keep_n the result is bounded by it and may be broadcast. ``terms`` is
+    read more than once: hand in a stored dictionary where it is costly.
     """
     total = F.lit(num_docs) if isinstance(num_docs, int) else num_docs
     kept = terms.filter((F.col("df") >= no_below) & (F.col("df") <= total * F.lit(no_above)))
     order = [F.col("df").desc(), F.col("token").asc()]
     if keep_n is None:
-        return (row_numbers(kept, [-F.col("df"), F.col("token")], "term_id")
+        return (row_numbers(kept, order, "term_id")
                 .select("term_id", "token", "df", "cf"))
     if keep_n > BROADCAST_ROWS:
         raise ValueError(f"keep_n is limited to {BROADCAST_ROWS}; use None for no limit")
-    top = kept.orderBy(*order).limit(keep_n)
+    # Cut by frequency classes first: the top-k then sees little more than keep_n
+    # rows instead of keep_n rows of every task.
+    level = F.floor(F.log2("df") * 64)
+    classes = kept.groupBy(level.alias("level")).agg(F.count("*").alias("n"))  # a few thousand rows at most
+    above = F.sum("n").over(Window.orderBy(F.col("level").desc()))
+    lowest = classes.withColumn("above", above).filter(F.col("above") >= keep_n).agg(F.max("level").alias("l")).scalar()
+    top = kept.filter(level >= F.coalesce(lowest, F.lit(-1))).orderBy(*order).limit(keep_n)
     number = F.row_number().over(Window.orderBy(*order)) - 1  # at most keep_n rows
     return top.select(number.cast("long").alias("term_id"), "token", "df", "cf")
 

@@ -32,8 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: Settings of the ensemble queries over the fixed 24 topics.
-EPS, MIN_SAMPLES, MIN_CORES = 0.2, 2, 2
-WIDE_EPS, WIDE_SAMPLES = 0.3, 3
+EPS, MIN_SAMPLES, MIN_CORES = 0.1, 2, 2
+WIDE_EPS, WIDE_SAMPLES = 0.15, 3
 DECAY = 0.5
 SPLIT_YEAR = 2016
 LDA_OPTIONS = {"passes": 5, "seed": 1}
@@ -386,14 +386,13 @@ def dictionary(spark, d):
 
 @query
 def dictionary_pruned(spark, d):
-    texts = X.docs(spark, d)
-    return V.prune(V.dictionary(texts), V.count_docs(texts))
+    return V.prune(X.dictionary(spark, d), V.count_docs(X.docs(spark, d)))
 
 
 @query
 def dictionary_numbered(spark, d):
     """Without keep_n: ids over the whole vocabulary, ranked in ranges."""
-    return V.prune(V.dictionary(X.docs(spark, d)), V.count_docs(X.docs(spark, d)), no_below=1, no_above=1.0, keep_n=None)
+    return V.prune(X.dictionary(spark, d), V.count_docs(X.docs(spark, d)), no_below=1, no_above=1.0, keep_n=None)
 
 
 @query
@@ -555,9 +554,10 @@ def lsa_gram_update(spark, d):
 
 @query
 def lsa_update(spark, d):
-    size = X.size(spark, d)
-    old, new = (TP.gram(part, size) for part in _halves(spark, d))
-    return TP.lsa_of_gram(TP.update_gram(old, new, DECAY), size, X.TOPICS)
+    vectors, raw = X.model_vectors(spark, d), P.posts(spark, d)
+    old = TP.fit_lsa(D.docs_of(vectors, P.in_years(raw, None, SPLIT_YEAR)), X.TOPICS)
+    new = D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1, 9998))
+    return TP.update_lsa(old, new, X.TOPICS, X.size(spark, d), DECAY)
 
 
 @query

@@ -39,12 +39,15 @@ def docs(spark: SparkSession, directory: str) -> DataFrame:
     return once(spark, directory, "docs", lambda: corpus.normalised_docs(english(spark, directory)))
 
 
+def dictionary(spark: SparkSession, directory: str) -> DataFrame:
+    """(token, df, cf) of every token."""
+    return once(spark, directory, "dictionary", lambda: vectors.dictionary(docs(spark, directory)))
+
+
 def terms(spark: SparkSession, directory: str) -> DataFrame:
     """Pruned dictionary."""
-    def make():
-        texts = docs(spark, directory)
-        return vectors.prune(vectors.dictionary(texts), vectors.count_docs(texts))
-    return once(spark, directory, "terms", make)
+    return once(spark, directory, "terms", lambda: vectors.prune(
+        dictionary(spark, directory), vectors.count_docs(docs(spark, directory))))
 
 
 def bow(spark: SparkSession, directory: str) -> DataFrame:

@@ -57,7 +57,8 @@ def build_corpus(texts: DataFrame, start: int | None = None, end: int | None = N
     if ngrams:
         docs = materialise(phrases.ngram_docs(docs, ngrams), "ngrams")
     total = docs.count()
-    terms = materialise(vectors.prune(vectors.dictionary(docs), total), "terms")
+    counts = materialise(vectors.dictionary(docs), "dictionary")
+    terms = materialise(vectors.prune(counts, total), "terms")
     return Corpus(docs, terms, vectors.vectors(docs, terms, total, mode), total)
 
 

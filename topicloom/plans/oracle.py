@@ -248,9 +248,10 @@ CTE["v0"] = f"""SELECT label, num_cores, row_number() OVER (ORDER BY max_labels,
     num_cores < {MIN_CORES} AS gone FROM summary"""
 for step in range(1, TOPICS + 1):  # one cluster per step, in visiting order
     before = f"v{step - 1}"
-    CTE[f"v{step}"] = f"""SELECT v.label, v.num_cores, v.k, v.gone OR (v.k = {step} AND (SELECT count(*) FROM labelled t
-        WHERE t.is_core AND t.label = v.label AND list_filter(t.labels, lambda x: x NOT IN
-        (SELECT label FROM {before} WHERE gone)) = [v.label]) < {MIN_CORES}) AS gone FROM {before} v"""
+    CTE[f"lone{step}"] = f"""SELECT t.label, count(*) AS lone FROM labelled t, (SELECT coalesce(list(label), []) AS g FROM {before}
+        WHERE gone) WHERE t.is_core AND list_filter(t.labels, lambda x: NOT list_contains(g, x)) = [t.label] GROUP BY t.label"""
+    CTE[f"v{step}"] = f"""SELECT v.label, v.num_cores, v.k, v.gone OR (v.k = {step} AND coalesce(l.lone, 0) < {MIN_CORES}) AS gone
+        FROM {before} v LEFT JOIN lone{step} l USING (label)"""
 CTE["gone_list"] = f"SELECT coalesce(list(label), []) AS g FROM v{TOPICS} WHERE gone"
 CTE["vcores"] = """SELECT topic, label FROM labelled, gone_list WHERE is_core
     AND list_filter(labels, lambda x: NOT list_contains(g, x)) = [label]"""
@@ -283,10 +284,10 @@ for step in (1, 2):
 
 # windows of 110 tokens for the coherence measure
 
-CTE["win"] = """SELECT DISTINCT n.id, n.token, unnest(range(greatest(n.pos - 109, 0), least(n.pos, l.starts - 1) + 1)) AS at
+CTE["win"] = """SELECT DISTINCT n.id, n.token, unnest(range(greatest(n.pos - 109, 0), least(n.pos, l.starts - 1) + 1)) AS spot
     FROM norm n JOIN (SELECT id, greatest(count(*) - 110, 0) + 1 AS starts FROM norm GROUP BY id) l USING (id)
     WHERE n.token IN (SELECT token FROM top10)"""
-CTE["wpair"] = "SELECT x.token AS a, y.token AS b, count(*) AS n FROM win x JOIN win y USING (id, at) GROUP BY ALL"
+CTE["wpair"] = "SELECT x.token AS a, y.token AS b, count(*) AS n FROM win x JOIN win y USING (id, spot) GROUP BY ALL"
 CTE["wtotal"] = """SELECT sum(s)::DOUBLE + (SELECT count(*) FROM en WHERE id NOT IN (SELECT id FROM norm)) AS t FROM
     (SELECT greatest(count(*) - 110, 0) + 1 AS s FROM norm GROUP BY id)"""
 CTE["npmi"] = """SELECT x.topic_id, x.token AS a, y.token AS b,

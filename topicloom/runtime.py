@@ -18,6 +18,9 @@ DEFAULTS = {
 }
 
 
+_made: list[str] = []  # paths handed out by run_path
+
+
 def session(master: str | None = None, app: str = "topicloom", **conf: str) -> SparkSession:
     """Get or create a session with the defaults above."""
     builder = SparkSession.builder.appName(app)
@@ -50,7 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def run_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables this session wrote under the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ def posts(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("body"),
         "lang",
         "source",
@@ -70,7 +71,7 @@ def newest(df: DataFrame, n: int = 100) -> DataFrame:
 
 def keyword_filter(df: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """Posts that name one of the keywords as a whole word, any case."""
-    alternation = "|".join(keywords)
+    alternation = "|".join(re.sub(r"([^\w\s])", r"\\\1", word) for word in keywords)
     pattern = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({alternation})([^\p{{L}}\p{{N}}_]|$)"
     return df.filter(F.col("title").rlike(pattern) | F.col("body").rlike(pattern))
 

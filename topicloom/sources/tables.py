@@ -35,9 +35,8 @@ def update_column(df: DataFrame, updates: DataFrame, column: str, key: str = "id
     Several updates of one key: the one with the highest ``order`` wins, as the
     last statement would; without an order column, the highest value.
     """
-    ranking = F.struct(F.col(order or column), F.col(column))
-    latest = updates.groupBy(key).agg(F.max(F.struct(ranking.alias("r"))).alias("_u"))
-    latest = latest.select(key, F.col("_u.r").getField(column).alias("_new"), F.lit(True).alias("_hit"))
+    ranking = F.struct(F.col(order or column).alias("o"), F.col(column).alias("v"))
+    latest = updates.groupBy(key).agg(F.max(ranking)["v"].alias("_new"), F.lit(True).alias("_hit"))
     changed = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))
     return (df.join(latest, key, "left").withColumn(column, changed)
             .select(*df.columns))
@@ -80,16 +79,12 @@ def next_run_number(spark: SparkSession, path: str) -> int:
     return max(taken, default=0) + 1
 
 
-def convergence(lines: DataFrame, text: str = "value", order: list[Column] | None = None) -> DataFrame:
+def convergence(lines: DataFrame, text: str, order: list[Column]) -> DataFrame:
     """(iteration, likelihood, perplexity) of the matching log lines, 10 apart.
 
-    ``order`` puts the lines in writing order; by default the file and the
-    position in it.
+    ``order`` puts the lines in writing order.
     """
     found = lines.filter(F.col(text).rlike(CONVERGENCE_LINE))
-    if order is None:
-        found = found.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-        order = [F.col("_file"), F.col("_at")]
     numbered = row_numbers(found, order, "_line")
     return numbered.select(
         (F.col("_line") * 10).alias("iteration"),
@@ -99,5 +94,8 @@ def convergence(lines: DataFrame, text: str = "value", order: list[Column] | Non
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return convergence(spark.read.text(path))
-
+    """Log files in order of file name, then position in the file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    return convergence(lines, "value", [F.col("file"), F.col("block"), F.col("at")])
