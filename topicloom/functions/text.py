@@ -47,17 +47,18 @@ def is_punct(token: Column) -> Column:
     return ~_ascii_letter(F.substring(token, 1, 1)) & token.rlike(r"^\p{P}*$")
 
 
-def is_stopword(token: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    return F.lower(token).isin(*stop_words)
+def is_stopword(token: Column, stop_words: Iterable[str] = STOP_WORDS, low: Column | None = None) -> Column:
+    """Stop word in any case; ``low`` is the token in lower case, if at hand."""
+    return (F.lower(token) if low is None else low).isin(*stop_words)
 
 
 def is_short(token: Column) -> Column:
     return F.length(token) == 1
 
 
-def keep_token(token: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+def keep_token(token: Column, stop_words: Iterable[str] = STOP_WORDS, low: Column | None = None) -> Column:
     """Not punctuation, not a stop word, more than one character."""
-    return ~is_short(token) & ~is_stopword(token, stop_words) & ~is_punct(token)
+    return ~is_short(token) & ~is_stopword(token, stop_words, low) & ~is_punct(token)
 
 
 def _ends(token: Column, suffixes: Iterable[str]) -> Column:
@@ -71,9 +72,9 @@ def _closed_class(low: Column) -> Column:
     return rule
 
 
-def pos_tag(token: Column) -> Column:
+def pos_tag(token: Column, low: Column | None = None) -> Column:
     """Penn tag from the closed-class lexicon, else suffix rules, else noun."""
-    low = F.lower(token)
+    low = F.lower(token) if low is None else low
     first = F.substring(token, 1, 1)
     closed = [word for listed in TAG_LEXICON.values() for word in listed]
     mark = (F.when(first.isin(".", "!", "?"), ".")
@@ -83,9 +84,13 @@ def pos_tag(token: Column) -> Column:
     rule = F.when(low.isin(*closed), _closed_class(low))
     rule = rule.when(~_ascii_letter(first) & first.rlike(r"[^\p{L}\p{N}_]"), mark)
     rule = rule.when(~_ascii_letter(first) & first.rlike(r"\p{N}"), "CD")
+    # most tokens end in no suffix at all: one look at the last letter skips the list
+    last = sorted({suffix[-1] for suffixes, _ in TAG_SUFFIXES for suffix in suffixes})
+    by_suffix = F.when(~F.substring(low, -1, 1).isin(*last), None)
     for suffixes, tag in TAG_SUFFIXES:
-        rule = rule.when(_ends(low, suffixes), tag)
-    return rule.when(first != F.lower(first), "NNP").otherwise("NN")
+        by_suffix = by_suffix.when(_ends(low, suffixes), tag)
+    rule = rule.otherwise(by_suffix)
+    return F.coalesce(rule, F.when(first != F.lower(first), "NNP").otherwise("NN"))
 
 
 def word_class(tag: Column) -> Column:
@@ -95,27 +100,25 @@ def word_class(tag: Column) -> Column:
 
 
 def _detach(token: Column, word_class_: str) -> Column:
-    listed = LEMMA_EXCEPTIONS[word_class_]
+    listed, rules = LEMMA_EXCEPTIONS[word_class_], DETACHMENT[word_class_]
     table = F.create_map(*[F.lit(part) for pair in listed.items() for part in pair])
     rule = F.when(token.isin(*listed), table[token])
+    if not rules:
+        return rule.otherwise(token)
+    last = sorted({suffix[-1] for suffix, _ in rules})
+    rule = rule.when(~F.substring(token, -1, 1).isin(*last), token)
     if word_class_ in "nv":
         rule = rule.when(_ends(token, NOT_PLURAL), token)
-    for suffix, ending in DETACHMENT[word_class_]:
+    for suffix, ending in rules:
         size = len(suffix)
         stem = F.substring(token, F.lit(1), F.length(token) - size)
         rule = rule.when(token.endswith(suffix) & (F.length(token) > size + 1), F.concat(stem, F.lit(ending)))
     return rule.otherwise(token)
 
 
-def lemma_of_class(token: Column, cls: Column) -> Column:
-    """Irregular form, else detachment rule of the word class.
-
-    Tokens with capitals are left as they are, as a lower-case lexicon lookup
-    would leave them.
-    """
+def _lemma_of_lower(token: Column, cls: Column) -> Column:
     return (
-        F.when(token != F.lower(token), token)
-        .when(cls == "n", _detach(token, "n"))
+        F.when(cls == "n", _detach(token, "n"))
         .when(cls == "v", _detach(token, "v"))
         .when(cls == "a", _detach(token, "a"))
         .otherwise(_detach(token, "r"))
@@ -128,9 +131,13 @@ def _bind(value: Column, rule: Callable[[Column], Column]) -> Column:
 
 
 def lemma(token: Column, tag: Column) -> Column:
-    """Lemma of a token under its Penn tag."""
-    bound = _bind(tag, lambda t: word_class(t))
-    return _bind(bound, lambda cls: lemma_of_class(token, cls))
+    """Lemma under a Penn tag: irregular form, else rule of the word class.
+
+    Tokens with capitals are left as they are, as a lower-case lexicon lookup
+    would leave them.
+    """
+    cls = _bind(tag, word_class)
+    return F.when(token != F.lower(token), token).otherwise(_bind(cls, lambda c: _lemma_of_lower(token, c)))
 
 
 def is_ascii_punct(token: Column) -> Column:
@@ -159,14 +166,22 @@ def normalise_array(tokens: Column, stop_words: Iterable[str] = STOP_WORDS) -> C
     expressions the rules would be inlined into each other many times over and
     outgrow what the JVM compiles.
     """
-    kept = F.filter(tokens, lambda token: keep_token(token, stop_words))
-    tagged = F.transform(kept, lambda t: F.struct(t.alias("token"), pos_tag(t).alias("tag")))
-    return normalise_tagged(tagged)
+    paired = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lower(t).alias("low")))
+    kept = F.filter(paired, lambda x: keep_token(x["token"], stop_words, x["low"]))
+    return _normalise(F.transform(kept, lambda x: F.struct(
+        x["token"].alias("token"), x["low"].alias("low"), pos_tag(x["token"], x["low"]).alias("tag"))))
+
+
+def normalise_tagged(tagged: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+    """The same for an array of (token, tag)."""
+    paired = F.transform(tagged, lambda x: F.struct(
+        x["token"].alias("token"), F.lower(x["token"]).alias("low"), x["tag"].alias("tag")))
+    return _normalise(F.filter(paired, lambda x: keep_token(x["token"], stop_words, x["low"])))
 
 
-def normalise_tagged(tagged: Column) -> Column:
-    """The second half, for an array of kept (token, tag)."""
-    classed = F.transform(
-        tagged, lambda x: F.struct(x["token"].alias("token"), word_class(x["tag"]).alias("cls")))
-    lemmas = F.transform(classed, lambda x: F.lower(lemma_of_class(x["token"], x["cls"])))
+def _normalise(kept: Column) -> Column:
+    classed = F.transform(kept, lambda x: F.struct(
+        x["low"].alias("low"), F.when(x["token"] != x["low"], "").otherwise(word_class(x["tag"])).alias("cls")))
+    lemmas = F.transform(classed, lambda x: F.when(x["cls"] == "", x["low"]).otherwise(
+        F.lower(_lemma_of_lower(x["low"], x["cls"]))))
     return F.filter(lemmas, lambda token: F.length(token) > 1)

@@ -182,9 +182,7 @@ def lemmas(tagged: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 def normalise(docs: DataFrame) -> DataFrame:
     """(id, tokens) of tagged documents: the full normaliser, inside the row."""
-    words = F.flatten(F.flatten("doc"))
-    kept = F.filter(words, lambda w: T.keep_token(w["token"]))
-    return docs.select("id", T.normalise_tagged(kept).alias("tokens"))
+    return docs.select("id", T.normalise_tagged(F.flatten(F.flatten("doc"))).alias("tokens"))
 
 
 def normalised_docs(docs: DataFrame, text: str = "body") -> DataFrame:

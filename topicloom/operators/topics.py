@@ -171,7 +171,7 @@ def term_topic_share(topic_term: DataFrame) -> DataFrame:
 # --- LSA -----------------------------------------------------------------
 
 #: Up to this vocabulary the term-by-term matrix is summed in one pass.
-GRAM_TERMS = 4096
+GRAM_TERMS = 2048
 
 
 def _svd(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -171,7 +171,7 @@ def h1_title(spark, d):
 
 
 def _body(rule, spark, d):
-    return P.html_posts(spark, d).select("id", rule(F.col("body")).alias("body"))
+    return X.pages(spark, d).select("id", rule(F.col("body")).alias("body"))
 
 
 @query
@@ -196,17 +196,17 @@ def strip_logs(spark, d):
 
 @query
 def clean_posts(spark, d):
-    return flows.clean_posts(P.html_posts(spark, d))
+    return flows.clean_posts(X.pages(spark, d))
 
 
 @query
 def main_content(spark, d):
-    return P.html_posts(spark, d).select("id", H.main_content(F.col("body")).alias("content"))
+    return X.pages(spark, d).select("id", H.main_content(F.col("body")).alias("content"))
 
 
 @query
 def paragraphs(spark, d):
-    return D.paragraphs(P.html_posts(spark, d))
+    return D.paragraphs(X.pages(spark, d))
 
 
 @query
@@ -216,22 +216,22 @@ def plain_text(spark, d):
 
 @query
 def sentences(spark, d):
-    return D.sentences(D.paragraphs(P.html_posts(spark, d)))
+    return D.sentences(D.paragraphs(X.pages(spark, d)))
 
 
 @query
 def tokens(spark, d):
-    return D.tokens(P.posts(spark, d))
+    return D.tokens(X.texts(spark, d))
 
 
 @query
 def pos_tags(spark, d):
-    return D.tag_tokens(D.tokens(P.posts(spark, d))).groupBy("token", "tag").agg(F.count("*").alias("n"))
+    return D.tag_tokens(D.tokens(X.texts(spark, d))).groupBy("token", "tag").agg(F.count("*").alias("n"))
 
 
 @query
 def nested_docs(spark, d):
-    docs = D.tagged_docs(P.html_posts(spark, d))
+    docs = D.tagged_docs(X.pages(spark, d))
     flat = F.flatten("doc")
     return docs.select("id", F.size("doc").cast("long").alias("n_paras"), F.size(flat).cast("long").alias("n_sents"),
                        F.size(F.flatten(flat)).cast("long").alias("n_tokens"))
@@ -239,14 +239,14 @@ def nested_docs(spark, d):
 
 @query
 def assembled_docs(spark, d):
-    docs = D.assemble(D.flatten(D.tagged_docs(P.html_posts(spark, d))))
+    docs = D.assemble(D.flatten(D.tagged_docs(X.pages(spark, d))))
     words = F.flatten(F.flatten("doc"))
     return docs.select("id", F.array_join(F.transform(words, lambda w: F.concat_ws("/", w["token"], w["tag"])), " ").alias("text"))
 
 
 @query
 def parse_quarantine(spark, d):
-    stored = D.to_json(D.tagged_docs(P.html_posts(spark, d)))
+    stored = D.to_json(D.tagged_docs(X.pages(spark, d)))
     cut = F.when(F.col("id") % 10 == 0, F.expr("substring(json, 1, length(json) - 7)")).otherwise(F.col("json"))
     rows = D.parse_json(stored.withColumn("json", cut))
     return rows.select("id", "parse_ok", F.coalesce(F.size(F.flatten(F.flatten("doc"))), F.lit(0)).cast("long").alias("n_tokens"))
@@ -254,7 +254,7 @@ def parse_quarantine(spark, d):
 
 @query
 def flatten_docs(spark, d):
-    return D.flatten(D.tagged_docs(P.html_posts(spark, d)))
+    return D.flatten(D.tagged_docs(X.pages(spark, d)))
 
 
 # --- joins and set operations --------------------------------------------
@@ -306,17 +306,17 @@ def _count(rows: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def drop_punct(spark, d):
-    return _count(D.drop_punct(D.tokens(P.posts(spark, d))), "token")
+    return _count(D.drop_punct(D.tokens(X.texts(spark, d))), "token")
 
 
 @query
 def drop_stopwords(spark, d):
-    return _count(D.drop_stopwords(D.tokens(P.posts(spark, d))), "token")
+    return _count(D.drop_stopwords(D.tokens(X.texts(spark, d))), "token")
 
 
 @query
 def drop_short(spark, d):
-    return _count(D.drop_short(D.tokens(P.posts(spark, d))), "token")
+    return _count(D.drop_short(D.tokens(X.texts(spark, d))), "token")
 
 
 @query

@@ -34,6 +34,14 @@ def english(spark: SparkSession, directory: str) -> DataFrame:
     return scale.spread(P.posts(spark, directory).filter(F.col("lang") == "en"))
 
 
+def texts(spark: SparkSession, directory: str) -> DataFrame:
+    return scale.spread(P.posts(spark, directory))
+
+
+def pages(spark: SparkSession, directory: str) -> DataFrame:
+    return scale.spread(P.html_posts(spark, directory))
+
+
 def docs(spark: SparkSession, directory: str) -> DataFrame:
     """(id, tokens): normalised English posts."""
     return once(spark, directory, "docs", lambda: corpus.normalised_docs(english(spark, directory)))
@@ -60,7 +68,9 @@ def tfidf(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def model_vectors(spark: SparkSession, directory: str) -> DataFrame:
-    return vectors.vectors(docs(spark, directory), terms(spark, directory))
+    """(id, features, empty): TF-IDF vectors for MLlib."""
+    return once(spark, directory, "vectors",
+                lambda: vectors.vectors(docs(spark, directory), terms(spark, directory)))
 
 
 def size(spark: SparkSession, directory: str) -> int:

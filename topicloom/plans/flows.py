@@ -59,7 +59,7 @@ def build_corpus(texts: DataFrame, start: int | None = None, end: int | None = N
     total = docs.count()
     counts = materialise(vectors.dictionary(docs), "dictionary")
     terms = materialise(vectors.prune(counts, total), "terms")
-    return Corpus(docs, terms, vectors.vectors(docs, terms, total, mode), total)
+    return Corpus(docs, terms, materialise(vectors.vectors(docs, terms, total, mode), "vectors"), total)
 
 
 def fit_topics(corpus_: Corpus, k: int = 6, **options) -> TopicRun:
