@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
-from .pairs import by_row, pair_sums
+from .pairs import all_pairs, by_row, pair_sums
 
 MASS = 0.95
 RANK = 0.11
@@ -79,8 +79,7 @@ def topic_distance(topics: DataFrame, count: int, mask: DataFrame | None = None)
     dist = (F.when(F.col("a") == F.col("b"), 0.0)
             .when(F.coalesce("mass", F.lit(0.0)) <= MIN_MASKED_MASS, 1.0)
             .otherwise(1 - cosine))
-    ids = topics.sparkSession.range(count)
-    grid = ids.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("b"))
+    grid = all_pairs(topics.sparkSession, count)
     return grid.join(sums, ["a", "b"], "left").select("a", "b", dist.alias("dist"))
 
 

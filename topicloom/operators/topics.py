@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .coherence import c_v
 from .clusters import non_empty
-from .pairs import by_row, pair_sums
+from .pairs import all_pairs, by_row, pair_sums
 from .vectors import doc_arrays
 
 MIN_PROBABILITY = 0.01
@@ -159,7 +159,8 @@ def topic_divergence(topic_term: DataFrame, k: int) -> DataFrame:
         return [np.array(parts)]
 
     sums = pair_sums(by_row(topic_term, "term_id", "topic_id", ["w"]), k, ["w"], ["js"], products)
-    return sums.filter(F.col("a") < F.col("b"))
+    pairs = all_pairs(topic_term.sparkSession, k).filter(F.col("a") < F.col("b"))
+    return pairs.join(sums, ["a", "b"], "left").fillna(0.0, ["js"])
 
 
 def term_topic_share(topic_term: DataFrame) -> DataFrame:
