@@ -53,6 +53,15 @@ def day(column: str = "creation_date") -> Column:
     return F.col(column).cast("string").alias(column)
 
 
+def _count(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """(token, n): token rules that see one token are applied once per word."""
+    return _count(D.tokens(texts), "token")
+
+
 # --- sources, sinks, table maintenance -----------------------------------
 
 @query
@@ -226,7 +235,7 @@ def tokens(spark, d):
 
 @query
 def pos_tags(spark, d):
-    return D.tag_tokens(D.tokens(X.texts(spark, d))).groupBy("token", "tag").agg(F.count("*").alias("n"))
+    return D.tag_tokens(_vocabulary(X.texts(spark, d)))
 
 
 @query
@@ -300,28 +309,24 @@ def per_year_limit(spark, d):
 
 # --- token normalisation -------------------------------------------------
 
-def _count(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
-
-
 @query
 def drop_punct(spark, d):
-    return _count(D.drop_punct(D.tokens(X.texts(spark, d))), "token")
+    return D.drop_punct(_vocabulary(X.texts(spark, d)))
 
 
 @query
 def drop_stopwords(spark, d):
-    return _count(D.drop_stopwords(D.tokens(X.texts(spark, d))), "token")
+    return D.drop_stopwords(_vocabulary(X.texts(spark, d)))
 
 
 @query
 def drop_short(spark, d):
-    return _count(D.drop_short(D.tokens(X.texts(spark, d))), "token")
+    return D.drop_short(_vocabulary(X.texts(spark, d)))
 
 
 @query
 def lemmas(spark, d):
-    return _count(D.lemmas(D.tag_tokens(D.tokens(X.english(spark, d)))), "token", "tag", "lemma")
+    return D.lemmas(D.tag_tokens(_vocabulary(X.english(spark, d))))
 
 
 @query
