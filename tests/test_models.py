@@ -267,3 +267,31 @@ def test_pipeline_saves_and_loads(spark):
     loaded = flows.save_and_load(model, run_path(spark, "model"))
     want = {r.id: [round(x, 6) for x in r.topicDistribution] for r in model.transform(docs).collect()}
     assert {r.id: [round(x, 6) for x in r.topicDistribution] for r in loaded.transform(docs).collect()} == want and want
+
+
+def test_repeated_fits_and_sweep(spark, planted):
+    docs, terms, vectors, _ = planted
+    seeds = TP.lda_collection(vectors, 3, [1, 2], passes=2)
+    sums = seeds.groupBy("model_id", "topic_id").agg(F.sum("w").alias("s")).collect()
+    assert len(sums) == 6 and all(abs(r.s - 1) < 1e-6 for r in sums)
+    again = TP.lda_topic_term(TP.refit_lda([vectors.filter("id < 60"), vectors.filter("id >= 60")], 3, passes=2, seed=1))
+    assert again.count() == 3 * terms.count()
+    sweep = TP.topic_sweep(vectors, docs, terms, [2, 3], passes=2).orderBy("k").collect()
+    assert [r.k for r in sweep] == [2, 3] and all(0 <= r.coherence <= 1 for r in sweep)
+
+
+def test_fitted_ensemble(planted):
+    docs, terms, _, _ = planted
+    corpus = flows.Corpus(docs, terms, V.vectors(docs, terms, mode="count").persist(), 121)
+    topics, distance, clusters, valid, stable = flows.fit_ensemble(corpus, 3, 3, eps=0.3, min_samples=1, min_cores=1, passes=20)
+    assert distance.count() == 81 and clusters.count() == 9
+    assert all(abs(r.s - 1) < 1e-6 for r in topics.groupBy("topic").agg(F.sum("w").alias("s")).collect())
+    labels = {r.label for r in valid.filter("is_valid").collect()}
+    assert {r.label for r in stable.select("label").distinct().collect()} <= labels
+
+
+def test_schema_rows(spark):
+    from topicloom.sources import posts as P
+
+    rows = P.schema_rows(spark.range(1).withColumn("t", F.lit(None).cast("string"))).orderBy("position").collect()
+    assert [(r.name, r.type, r.mode) for r in rows] == [("id", "bigint", "REQUIRED"), ("t", "string", "NULLABLE")]
