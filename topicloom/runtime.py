@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,33 @@ def session(master: str | None = None, app: str = "topicloom", **conf: str) -> S
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    made = builder.getOrCreate()
+    ship(made)
+    return made
+
+
+_shipped: set[str] = set()  # applications whose workers have the package
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started.
+
+    Done once per application; Spark's own file server hands the archive out.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.join(name, os.path.relpath(path, package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
 
 
 def shared_dir(spark: SparkSession) -> str:
