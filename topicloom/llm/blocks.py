@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 8192
 
 
 def byte_set(members: bytes) -> np.ndarray:
@@ -59,7 +60,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1
-            end = max(end, at + 1)
+            end = min(max(end, at + 1), at + BLOCK_ROWS)
             yield batch.slice(at, end - at)
             at = end
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from . import bpe_count, decontaminate, host_rules, language, pieces, secret_scan
+from . import bpe_count, decontaminate, host_rules, language, pieces, prob_minhash, secret_scan
 
 #: Folds: crc32 of the id as text, modulo.
 LABEL_FOLD, TEXT_FOLD, TEXT_HELD = 5, 7, 2
@@ -48,6 +48,10 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    return prob_minhash.classes(table(spark, directory, "documents"))
+
+
 def op8_pieces(spark: SparkSession, directory: str) -> DataFrame:
     made = pieces.encode_decode(table(spark, directory, "documents"), piece_model())
     return made.select("doc_id", *piece_digests())
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
