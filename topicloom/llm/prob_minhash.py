@@ -7,9 +7,10 @@ register's. Two texts agree on a register with the probability Jaccard similarit
 their weighted shingles. Bands of registers are bucketed, and in each bucket the texts
 are compared with the bucket's hub: the member that meets most texts over all its
 buckets, as the source of a family of edited copies does. Comparison is exact: shared
-over all distinct shingles, at least 0.8. Members that fail are compared with further
-hubs of what is left of their bucket, one, two, four ... at a time, till no bucket has
-two of them. Links are joined to classes by alternating star steps.
+over all distinct shingles, at least 0.8. Members that are in another class than their
+hub after that are compared with each other, exactly and all of them: what is left of a
+bucket is dealt into cells of at most two chunks of ``CHUNK`` members, compared inside
+the cell, and only links leave it. Links are joined to classes by alternating star steps.
 
 Equal texts are put together first, by a digest, and enter as one.
 
@@ -22,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from ..runtime import cut_lineage, materialise
+from ..runtime import materialise
 from . import blocks as B
 from .decontaminate import text_words
 
@@ -36,6 +37,8 @@ SHARED, OF = 8, 10
 #: Bands and registers per band: a pair at 0.8 misses all bands once in 70,000.
 BANDS, BAND_SIZE = 28, 5
 REGISTERS = BANDS * BAND_SIZE
+#: Members of a bucket that are compared with each other in one piece.
+CHUNK = 256
 
 _ROW_SHIFT = np.uint64(50)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -135,6 +138,48 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("node", "hub", (OF * shared >= SHARED * union).alias("alike")))
 
 
+def compare_cell(cell: pa.Table) -> pa.Table:
+    """Links (node, hub) between the two chunks i and j of a cell, or within it if they are one.
+
+    Shared shingles are counted by products of blocks of the members' 0/1 rows.
+    """
+    sets = cell.column("shingles").combine_chunks()
+    sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+    sizes = np.diff(sets.offsets.to_numpy())
+    member = np.repeat(np.arange(len(sizes)), sizes)
+    values, at, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = times[at] > 1  # a shingle of one member is shared with none
+    column, member = (np.cumsum(times > 1) - 1)[at[several]], member[several]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    shared = np.zeros((len(sizes), len(sizes)), np.float64)
+    for low in range(0, int((times > 1).sum()), 2048):
+        a, b = np.searchsorted(column, [low, low + 2048])
+        rows = np.zeros((len(sizes), 2048), np.float32)
+        rows[member[a:b], column[a:b] - low] = 1
+        shared += rows @ rows.T
+    alike = OF * shared >= SHARED * (sizes[:, None] + sizes[None, :] - shared)
+    chunk = cell.column("chunk").to_numpy()
+    if (chunk != chunk[0]).any():
+        alike &= chunk[:, None] != chunk[None, :]
+    one, other = np.nonzero(np.triu(alike, 1))
+    nodes = cell.column("node")
+    return pa.table({"node": nodes.take(pa.array(one)), "hub": nodes.take(pa.array(other))})
+
+
+def compare_rest(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (node, hub) among all members of each band of ``rest`` (node, band)."""
+    sizes = materialise(rest.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("_n"), F.count("*").alias("_size"))
+                        .filter("_size > 1").drop("_size"), "rest-sizes")
+    dealt = (rest.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_n")))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+             .select("node", "band", "chunk", F.least("chunk", "_other").alias("i"),
+                     F.greatest("chunk", "_other").alias("j")))
+    cells = dealt.join(sets, "node").groupBy("band", "i", "j")
+    kind = dict(rest.dtypes)["node"]
+    return cells.applyInArrow(compare_cell, f"node {kind}, hub {kind}").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hub) verified links between the nodes (node, bands) of different texts."""
     entries = materialise(nodes.select("node", F.explode("bands").alias("band")), "band-entries")
@@ -142,54 +187,37 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     entries = materialise(entries.join(sizes, "band"), "band-entries")
     met = materialise(entries.groupBy("node").agg(F.sum("size").alias("met")), "band-met")
     entries = materialise(entries.select("node", "band").join(met, "node"), "band-entries")
-    sets = None
-    hubs, found = 1, None
-    while True:
-        if hubs == 1:
-            chosen = entries.groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
-        else:
-            best = Window.partitionBy("band").orderBy(F.col("met").desc(), F.col("node").desc())
-            chosen = entries.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= hubs) \
-                .select("band", F.col("node").alias("hub"))
-        chosen = materialise(chosen, "band-hubs")
-        tried = materialise(entries.join(chosen, "band").filter("node <> hub").select("node", "hub", "band", "met"),
-                            "band-tried")
-        # each pair is compared once, whichever of the two is the hub and in whatever buckets they meet
-        pairs = tried.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-        if sets is None:
-            sets = materialise(shingle_sets(docs, met.select("node")), "shingle-sets")
-        checked = materialise(verify(pairs, sets), "band-checked")
-        alike = checked.filter("alike").select("node", "hub")
-        found = alike if found is None else found.union(alike)
-        # go on with those that no hub of the bucket was alike to, without the hubs
-        linked = tried.join(alike.union(alike.select(F.col("hub").alias("node"), F.col("node").alias("hub"))),
-                            ["node", "hub"], "left_semi").select("node", "band")
-        rest = tried.select("node", "band", "met").distinct() \
-            .join(linked.distinct(), ["node", "band"], "left_anti") \
-            .join(chosen.select(F.col("hub").alias("node"), "band"), ["node", "band"], "left_anti")
-        rest = materialise(rest, "band-entries")
-        sizes = rest.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-        entries = materialise(rest.join(materialise(sizes, "band-sizes"), "band", "left_semi"), "band-entries")
-        if entries.isEmpty():
-            return found.distinct()
-        hubs *= 2
+    hubs = materialise(entries.groupBy("band").agg(F.max(F.struct("met", "node")).alias("_best"))
+                       .select("band", F.col("_best.node").alias("hub")), "band-hubs")
+    tried = materialise(entries.join(hubs, "band").filter("node <> hub").select("node", "hub", "band"), "band-tried")
+    sets = materialise(shingle_sets(docs, met.select("node")), "shingle-sets")
+    checked = materialise(verify(tried.select("node", "hub").distinct(), sets), "band-checked")
+    alike = checked.filter("alike").select("node", "hub")
+    roots = materialise(components(alike), "hub-roots")
+    theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("_theirs"))
+    rest = tried.join(roots, "node", "left").join(theirs, "hub", "left").filter(
+        F.coalesce("root", "node") != F.coalesce("_theirs", "hub")).select("node", "band")
+    return alike.union(compare_rest(materialise(rest, "band-rest"), sets))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable from each node of ``edges`` (node, hub).
 
-    Large-star and small-star steps in turn, till a round changes nothing.
+    Large-star and small-star steps in turn, till a round changes nothing. Every step
+    is written, so a lost executor costs one step at most.
     """
-    now = cut_lineage(edges.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct())
+    now = materialise(edges.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(),
+                      "stars")
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")))
-        large = cut_lineage(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .filter("u <> v").distinct())
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")),
+                            "least")
+        large = materialise(both.filter("v > u").join(least, "u")
+                            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
-        now = cut_lineage(small.filter("u <> v").distinct())
+        now = materialise(small.filter("u <> v").distinct(), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
