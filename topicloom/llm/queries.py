@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import run_path
 from . import blocks as B
-from . import bpe_count, decontaminate, host_rules, language, pieces, prob_minhash, secret_scan
+from . import bpe_count, context_tree, decontaminate, host_rules, language, pieces, prob_minhash, quality_gam
+from . import secret_scan, warc_writer
 
 #: Folds: crc32 of the id as text, modulo.
 LABEL_FOLD, TEXT_FOLD, TEXT_HELD = 5, 7, 2
@@ -32,6 +34,13 @@ def with_fold(result: DataFrame, modulus: int, remainder: int) -> DataFrame:
     return result.withColumn("held_out", held(modulus, remainder))
 
 
+def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    labels = table(spark, directory, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_gam.learn(docs, labels.filter(~held(LABEL_FOLD, 0)))
+    return with_fold(quality_gam.score(docs, model), LABEL_FOLD, 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_host_rules(spark: SparkSession, directory: str) -> DataFrame:
     found = host_rules.judge_hosts(table(spark, directory, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -48,6 +57,19 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_context_tree(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    found = context_tree.score(docs, docs.filter(~held(TEXT_FOLD, TEXT_HELD)))
+    return with_fold(found, TEXT_FOLD, TEXT_HELD).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
+def op6_warc(spark: SparkSession, directory: str) -> DataFrame:
+    path = run_path(spark, "warc")
+    warc_writer.write_archives(table(spark, directory, "pages"), path)
+    return warc_writer.read_archives(spark, path, payload=False).drop("url")
+
+
 def op7_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return prob_minhash.classes(table(spark, directory, "documents"))
 
@@ -84,9 +106,12 @@ def op10_language(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_host_rules": op2_host_rules,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_context_tree": op5_context_tree,
+    "op6_warc": op6_warc,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
