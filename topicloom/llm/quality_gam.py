@@ -211,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, flat)],
                                           ["doc_id", "label", "features"])
     kind = dict(docs.dtypes)["doc_id"]
-    rows = _scored(chosen, make, f"doc_id {kind}, label int, features array<double>").toPandas()
+    rows = _scored(chosen, make, f"doc_id {kind}, label int, features array<double>").toArrow().to_pandas()
     if rows.empty:
         return Model(0.0)
     rows = rows.sort_values(["doc_id", "label"])  # the order of rows must not change the fit

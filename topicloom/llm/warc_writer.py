@@ -72,7 +72,7 @@ def with_shards(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, int]:
     shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-total // SHARD_BYTES))))
     # a bounded sample that does not depend on the order of rows
     sample = pages.filter("page_id is not null").select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")) \
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(max(8192, 4 * shards)).toPandas().sort_values("page_id")
+        .orderBy(F.xxhash64("page_id"), "page_id").limit(max(8192, 4 * shards)).toArrow().to_pandas().sort_values("page_id")
     cuts: list[float] = []
     if len(sample):
         weight = np.cumsum(sample["n"].to_numpy() + 512.0)
