@@ -26,7 +26,7 @@ from . import blocks as B
 
 SPACE = "▁"
 #: Distinct chunks a task remembers at once.
-MEMORY = 800_000
+MEMORY = 2_000_000
 #: Documents with more tokens than this are over the limit.
 LIMIT = 4096
 
@@ -50,6 +50,9 @@ class PieceVocabulary:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.special = {i for i in range(size) if special[i]}
         self.unknown, self.end = model.unk_id(), model.eos_id()
+        #: What each id decodes to by itself; bytes are put together by the decoder.
+        self.forms = ["" if special[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.forms[self.unknown] = " ⁇ "
         # the piece of the highest score is merged first; equal scores keep one rank
         levels = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
         self.rank = {forms[i]: levels[model.get_score(i)] for i in plain if len(forms[i]) > 1}
@@ -85,12 +88,12 @@ def merge(chunk: str, rank: dict[str, int]) -> tuple[list[str], int]:
     n, merges = len(chunk), 0
     width = n.bit_length()
     mask = (1 << width) - 1
-    parts, after, before = list(chunk), list(range(1, n + 1)), list(range(-1, n - 1))
-    get = rank.get
-    found = [get(chunk[i:i + 2]) for i in range(n - 1)]
-    live = [-1 if r is None else r << width | i for i, r in enumerate(found)]
-    live.append(-1)
-    heap = [x for x in live if x >= 0]
+    # one place more than symbols: -1 as a place is the same end of the list
+    parts, after, before = [*chunk, ""], list(range(1, n + 2)), list(range(-1, n))
+    get, none = rank.get, 1 << 62
+    live = [get(a + b, none) << width | i for i, (a, b) in enumerate(zip(chunk, chunk[1:], strict=False))]
+    live += [none, none]
+    heap = [x for x in live if x < none]
     heapify(heap)
     while heap:
         entry = heappop(heap)
@@ -99,29 +102,19 @@ def merge(chunk: str, rank: dict[str, int]) -> tuple[list[str], int]:
             continue
         j = after[i]
         whole = parts[i] = parts[i] + parts[j]
-        parts[j] = ""
-        live[j] = -1
+        parts[j], live[j] = "", none
         merges += 1
         k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            r = get(whole + parts[k])
-            if r is None:
-                live[i] = -1
-            else:
-                entry = live[i] = r << width | i
-                heappush(heap, entry)
-        else:
-            live[i] = -1
+        before[k] = i
+        entry = live[i] = none if k == n else get(whole + parts[k], none) << width | i
+        if entry < none:
+            heappush(heap, entry)
         h = before[i]
         if h >= 0:
-            r = get(parts[h] + whole)
-            if r is None:
-                live[h] = -1
-            else:
-                entry = live[h] = r << width | h
+            entry = live[h] = get(parts[h] + whole, none) << width | h
+            if entry < none:
                 heappush(heap, entry)
-    return parts, merges
+    return parts[:n], merges
 
 
 def count_chunk(chunk: str, vocabulary: PieceVocabulary, known: dict[str, int]) -> int:

@@ -18,21 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .bpe_count import SPACE, PieceVocabulary, merge, vocabulary
+from .bpe_count import PieceVocabulary, merge, vocabulary
 
 #: Distinct chunks a worker's table holds at most; a full table is emptied.
-MEMORY = 500_000
+MEMORY = 1_200_000
 
 
 def encode_chunk(chunk: str, model: PieceVocabulary) -> list[int]:
     """Ids of a chunk that no longer piece crosses into or out of."""
-    ids: list[int] = []
-    for part in merge(chunk, model.rank)[0]:
-        if not part:
-            continue
-        found = model.ids.get(part)
-        if found is not None:
-            ids.append(found)
+    parts = [p for p in merge(chunk, model.rank)[0] if p] if len(chunk) > 1 else [chunk]
+    try:
+        return [model.ids[p] for p in parts]
+    except KeyError:
+        ids: list[int] = []
+    for part in parts:  # some character is outside the vocabulary
+        if part in model.ids:
+            ids.append(model.ids[part])
         elif model.byte_ids:
             ids.extend(model.byte_ids[b] for b in part.encode())
         else:
@@ -42,6 +43,8 @@ def encode_chunk(chunk: str, model: PieceVocabulary) -> list[int]:
 
 def decode_ids(ids: list[int], model: PieceVocabulary) -> str:
     """Text of ids: bytes are gathered into characters, markers become spaces."""
+    if model.byte_of.keys().isdisjoint(ids):
+        return "".join(map(model.forms.__getitem__, ids))
     out, pending = [], bytearray()
     for i in ids:
         if i in model.byte_of:
@@ -50,10 +53,7 @@ def decode_ids(ids: list[int], model: PieceVocabulary) -> str:
         if pending:
             out.append(pending.decode("utf-8", "replace"))
             pending.clear()
-        if i == model.unknown:
-            out.append(" ⁇ ")
-        elif i not in model.special:
-            out.append(model.pieces[i].replace(SPACE, " "))
+        out.append(model.forms[i])
     return "".join(out) + pending.decode("utf-8", "replace")
 
 
