@@ -58,33 +58,39 @@ def decode_ids(ids: list[int], model: PieceVocabulary) -> str:
 
 
 class ChunkTable:
-    """Distinct marked words with their ids and decoded forms."""
+    """Distinct marked words with their ids (int32 each), and decoded forms where those differ from the word."""
 
     def __init__(self) -> None:
-        self.clear()
+        self.ids: dict[str, bytes] = {}
+        self.forms: dict[str, str] = {}
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[bytes] = []  # int32 each
-        self.forms: list[str] = []
+        self.ids.clear()
+        self.forms.clear()
 
-    def _put(self, chunk: str, ids: bytes, form: str) -> int:
-        self.place[chunk] = at = len(self.ids)
-        self.ids.append(ids)
-        self.forms.append(form)
-        return at
-
-    def _segment(self, chunk: str, model: PieceVocabulary) -> int:
+    def _segment(self, chunk: str, model: PieceVocabulary) -> bytes:
         ids = encode_chunk(chunk, model)
-        return self._put(chunk, array("i", ids).tobytes(), decode_ids(ids, model))
+        form = decode_ids(ids, model)
+        if form != chunk:
+            self.forms[chunk] = form
+        found = self.ids[chunk] = array("i", ids).tobytes()
+        return found
 
     def add(self, chunks: set[str], model: PieceVocabulary) -> None:
         """Segment the chunks that are new; a chunk of parts is joined from its distinct parts."""
-        for chunk in chunks.difference(self.place):
+        get = self.ids.get
+        for chunk in chunks.difference(self.ids):
             parts = model.split(chunk)
-            places = [self.place[p] if p in self.place else self._segment(p, model) for p in parts]
+            found = [get(p) or self._segment(p, model) for p in parts]
             if len(parts) > 1:
-                self._put(chunk, b"".join(self.ids[i] for i in places), "".join(self.forms[i] for i in places))
+                self.ids[chunk] = b"".join(found)
+                if not self.forms.keys().isdisjoint(parts):
+                    self.forms[chunk] = "".join(self.forms.get(p, p) for p in parts)
+
+    def decoded(self, chunks: list[str]) -> str:
+        if self.forms.keys().isdisjoint(chunks):
+            return "".join(chunks)
+        return "".join(self.forms.get(c, c) for c in chunks)
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -100,11 +106,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for row, text in enumerate(batch.column(1).to_pylist()):
             chunks = model.chunks(text) if text else []
             table.add(set(chunks), model)
-            places = list(map(table.place.__getitem__, chunks))
-            rows.append(b"".join(map(table.ids.__getitem__, places)) + end)
+            rows.append(b"".join(map(table.ids.__getitem__, chunks)) + end)
             offsets[row + 1] = offsets[row] + len(rows[-1]) // 4
             # the marker put before the text goes, as the library's decoder has it
-            decoded.append("".join(map(table.forms.__getitem__, places))[1:])
+            decoded.append(table.decoded(chunks)[1:])
             if len(table.ids) > MEMORY:
                 table.clear()
         flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
