@@ -38,6 +38,8 @@ def test_in_years_open_sides(spark):
     df = spark.createDataFrame([(1, datetime.date(2011, 5, 1)), (2, datetime.date(2013, 1, 1))], "id long, creation_date date")
     assert P.in_years(df).count() == 2
     assert [r.id for r in P.in_years(df, 2013).collect()] == [2]
+    assert P.in_years(df, 2011).count() == 2
+    assert [r.id for r in P.in_years(df, 2011, 2011).collect()] == [1]
     assert [r.id for r in P.in_years(df, None, 2012).collect()] == [1]
 
 

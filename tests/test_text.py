@@ -26,6 +26,10 @@ def apply(spark, rule, value):
     (T.words, "can't use foo_bar, v2.0!", "can ' t use foo_bar , v2 . 0 !".split()),
     (T.words, "déjà vu", ["déjà", "vu"]),
     (T.sentences, "One. Two!  Three", ["One.", "Two!", "Three"]),
+    (T.sentences, ".NET core v2.0 is out", [".NET core v2.0 is out"]),
+    (T.sentences, "?!", ["?!"]),
+    (H.plain_text, "1 < 2 and 3 > 2<br/>", "1 < 2 and 3 > 2"),
+    (H.paragraphs, "<li>a<p>b</p>c tail</li>", ["a", "b", "c tail"]),
     (T.s_stem, "queries", "query"), (T.s_stem, "does", "doe"), (T.s_stem, "pages", "page"),
     (T.s_stem, "status", "status"), (T.s_stem, "cats", "cat"),
 ])
@@ -83,7 +87,7 @@ def test_normalised_array_equals_the_long_form(spark):
 
 
 def test_tagged_document_round_trip(spark):
-    pairs = "Azure/JJ Feature/NNP Flag/NNP is/VBZ not/RB updating/JJ after/IN cache/NN expiration/NN".split()
+    pairs = "Every/DT old/JJ lamp/NN in/IN the/DT blue/JJ harbour/NN still/RB glows/VBZ".split()
     doc = [[[tuple(p.split("/")) for p in pairs]]]
     docs = spark.createDataFrame([(1, doc)], f"id long, doc {D.TAGGED_TYPE}")
     stored = D.to_json(docs)

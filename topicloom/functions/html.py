@@ -17,7 +17,7 @@ BOILERPLATE = (
 )
 OPEN_BLOCK = rf"(?i)<(?:{_BLOCKS})(?:\s[^>]*)?>"
 CLOSE_BLOCK = rf"(?i)</(?:{_BLOCKS})\s*>"
-ANY_TAG = r"<[^>]*>"
+ANY_TAG = r"<[A-Za-z/!?][^>]*>"  # other "<" are prose
 ANCHOR = r"(?is)<a(?:\s[^>]*)?>(.*?)</a>"
 
 
@@ -64,14 +64,17 @@ def plain_text(html: Column) -> Column:
 
 
 def raw_blocks(html: Column) -> Column:
-    """Innermost block contents with their inline tags, in page order.
+    """Block contents with their inline tags, in page order, each text once.
 
     Every opening block tag starts a paragraph and the next block tag ends it:
-    unclosed ``<p>`` are handled and nested blocks are not emitted twice.
+    unclosed ``<p>`` are handled and nested blocks are not emitted twice. Text between
+    two closing tags is the rest of the outer block and a paragraph of its own.
     """
     marked = F.translate(html, _OPEN + _CLOSE, "")
     marked = F.regexp_replace(marked, OPEN_BLOCK, _OPEN)
     marked = F.regexp_replace(marked, CLOSE_BLOCK, _CLOSE)
+    for _ in range(2):  # matches of one pass do not overlap
+        marked = F.regexp_replace(marked, r"\x02([^\x01\x02]+)\x02", _CLOSE + _OPEN + "$1" + _CLOSE)
     return F.regexp_extract_all(marked, F.lit(r"\x01([^\x01\x02]*)"), F.lit(1))
 
 

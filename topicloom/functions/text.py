@@ -18,7 +18,7 @@ from .wordlists import (
     DETACHMENT,
     LEMMA_EXCEPTIONS,
     NOT_PLURAL,
-    SENTENCE_PATTERN,
+    SENTENCE_END,
     STOP_WORDS,
     TAG_LEXICON,
     TAG_SUFFIXES,
@@ -33,7 +33,8 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed non-empty sentences as an array."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0)), trim_space)
+    marked = F.regexp_replace(F.translate(text, "\x03", ""), SENTENCE_END, "$1\x03$2")
+    found = F.transform(F.split(marked, "\x03"), trim_space)
     return F.filter(found, lambda sentence: sentence != "")
 
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 # non-space characters. Same meaning in Java and RE2 regular expressions.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
-# Fixed value: a sentence is text up to and including its closing marks.
-SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
+# Fixed value: a sentence ends behind a closing mark that white space follows.
+SENTENCE_END = r"([.!?])(\s)"
 
 # Fixed value: block elements that hold a paragraph.
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
@@ -34,51 +34,6 @@ STOP_WORDS = tuple(
 # ASCII punctuation.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-# The Penn Treebank tag set (number, tag, description).
-PENN_TAGS = tuple(
-    (number, *line.split(" ", 1))
-    for number, line in enumerate(
-        """\
-CC Coordinating conjunction
-CD Cardinal number
-DT Determiner
-EX Existential there
-FW Foreign word
-IN Preposition or subordinating conjunction
-JJ Adjective
-JJR Adjective, comparative
-JJS Adjective, superlative
-LS List item marker
-MD Modal
-NN Noun, singular or mass
-NNS Noun, plural
-NNP Proper noun, singular
-NNPS Proper noun, plural
-PDT Predeterminer
-POS Possessive ending
-PRP Personal pronoun
-PRP$ Possessive pronoun
-RB Adverb
-RBR Adverb, comparative
-RBS Adverb, superlative
-RP Particle
-SYM Symbol
-TO to
-UH Interjection
-VB Verb, base form
-VBD Verb, past tense
-VBG Verb, gerund or present participle
-VBN Verb, past participle
-VBP Verb, non-3rd person singular present
-VBZ Verb, 3rd person singular present
-WDT Wh-determiner
-WP Wh-pronoun
-WP$ Possessive wh-pronoun
-WRB Wh-adverb""".splitlines(),
-        start=1,
-    )
-)
-
 # Default tag lexicon, closed classes only: tag -> lower-case words.
 TAG_LEXICON = {
     "DT": "a an the this that these those each every some any no all both".split(),

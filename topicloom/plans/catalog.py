@@ -57,11 +57,6 @@ def _count(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
-    """(token, n): token rules that see one token are applied once per word."""
-    return _count(D.tokens(texts), "token")
-
-
 # --- sources, sinks, table maintenance -----------------------------------
 
 @query
@@ -74,11 +69,6 @@ def scan_answers(spark, d):
     return P.answers(spark, d).select("id", "turn", "body")
 
 
-@query
-def schema_rows(spark, d):
-    return P.schema_rows(P.posts(spark, d))
-
-
 @query
 def newest_posts(spark, d):
     return P.newest(P.posts(spark, d).select("id", "title", "creation_date")).select("id", "title", day())
@@ -142,26 +132,13 @@ def roundtrip_csv(spark, d):
 
 @query
 def model_roundtrip(spark, d):
-    model = flows.topic_pipeline(iterations=5).fit(X.english(spark, d))
+    model = flows.topic_pipeline(iterations=5).fit(X.texts(spark, d))
     loaded = flows.save_and_load(model, run_path(spark, "model"))
     topic = F.expr("array_position(t, array_max(t)) - 1").cast("int").alias("topic_id")
-    found = loaded.transform(X.english(spark, d)).select("id", TP.vector_to_array("topicDistribution").alias("t"))
+    found = loaded.transform(X.texts(spark, d)).select("id", TP.vector_to_array("topicDistribution").alias("t"))
     return found.select("id", topic)
 
 
-@query
-def log_convergence(spark, d):
-    docs = P.table(spark, d, "documents")
-    figures = F.concat(F.lit("-8."), F.lpad((F.col("n_chars") % 1000).cast("string"), 3, "0"),
-                       F.lit(" per-word bound, "), F.col("n_chars").cast("string"),
-                       F.lit(".5 perplexity estimate based on a held-out corpus"))
-    line = F.when(F.col("doc_id") % 3 == 0, figures).otherwise(
-        F.concat(F.lit("PROGRESS: at document #"), F.col("doc_id").cast("string")))
-    path = run_path(spark, "log")
-    docs.orderBy("doc_id").select(line.alias("value")).write.text(path)
-    return TB.read_log(spark, path)
-
-
 # --- filters, projections, HTML ------------------------------------------
 
 @query
@@ -235,7 +212,7 @@ def tokens(spark, d):
 
 @query
 def pos_tags(spark, d):
-    return D.tag_tokens(_vocabulary(X.texts(spark, d)))
+    return D.tag_tokens(D.tokens(X.texts(spark, d)))
 
 
 @query
@@ -274,7 +251,7 @@ def _clean_text_posts(spark, d):
 
 @query
 def docs_semi_join(spark, d):
-    return D.docs_of(_clean_text_posts(spark, d), P.in_years(P.posts(spark, d), 2015))
+    return D.docs_of(_clean_text_posts(spark, d), P.in_years(P.posts(spark, d), 2015, 2015))
 
 
 @query
@@ -311,38 +288,38 @@ def per_year_limit(spark, d):
 
 @query
 def drop_punct(spark, d):
-    return D.drop_punct(_vocabulary(X.texts(spark, d)))
+    return D.drop_punct(D.tokens(X.texts(spark, d)))
 
 
 @query
 def drop_stopwords(spark, d):
-    return D.drop_stopwords(_vocabulary(X.texts(spark, d)))
+    return D.drop_stopwords(D.tokens(X.texts(spark, d)))
 
 
 @query
 def drop_short(spark, d):
-    return D.drop_short(_vocabulary(X.texts(spark, d)))
+    return D.drop_short(D.tokens(X.texts(spark, d)))
 
 
 @query
 def lemmas(spark, d):
-    return D.lemmas(D.tag_tokens(_vocabulary(X.english(spark, d))))
+    return D.lemmas(D.tag_tokens(D.tokens(X.texts(spark, d))))
 
 
 @query
 def normalise_docs(spark, d):
-    return D.normalised_docs(X.english(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
+    return D.normalised_docs(X.texts(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
 def stem_tokens(spark, d):
-    return _count(D.stem_tokens(X.english(spark, d)), "token", "stem")
+    return D.stem_tokens(X.texts(spark, d))
 
 
 @query
 def frequent_terms(spark, d):
     """Most frequent terms per year (top 20)."""
-    raw = P.in_years(P.posts(spark, d).filter("lang = 'en'"), 2012, 2021)
+    raw = P.in_years(P.posts(spark, d), 2012, 2021)
     rows = D.token_rows(X.docs(spark, d)).join(raw.select("id", F.year("creation_date").alias("year")), "id")
     order = Window.partitionBy("year").orderBy(F.col("n").desc(), "token")
     counted = _count(rows, "year", "token").withColumn("rank", F.row_number().over(order))
@@ -404,7 +381,7 @@ def dictionary_numbered(spark, d):
 def dictionary_update(spark, d):
     texts, raw = X.docs(spark, d), P.posts(spark, d)
     old = D.docs_of(texts, P.in_years(raw, None, SPLIT_YEAR))
-    new = D.docs_of(texts, P.in_years(raw, SPLIT_YEAR + 1, 9998))
+    new = D.docs_of(texts, P.in_years(raw, SPLIT_YEAR + 1))
     return V.prune(V.update(V.dictionary(old), V.dictionary(new)), V.count_docs(texts))
 
 
@@ -510,7 +487,7 @@ def lda_fit(spark, d):
 @query
 def lda_refit(spark, d):
     vectors, raw = X.model_vectors(spark, d), P.posts(spark, d)
-    batches = [D.docs_of(vectors, P.in_years(raw, None, SPLIT_YEAR)), D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1, 9998))]
+    batches = [D.docs_of(vectors, P.in_years(raw, None, SPLIT_YEAR)), D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1))]
     return TP.lda_topic_term(TP.refit_lda(batches, X.TOPICS, **LDA_OPTIONS))
 
 
@@ -547,7 +524,7 @@ def lsa_fit(spark, d):
 def _halves(spark, d):
     weights, raw = X.tfidf(spark, d), P.posts(spark, d)
     return (D.docs_of(weights, P.in_years(raw, None, SPLIT_YEAR)),
-            D.docs_of(weights, P.in_years(raw, SPLIT_YEAR + 1, 9998)))
+            D.docs_of(weights, P.in_years(raw, SPLIT_YEAR + 1)))
 
 
 @query
@@ -561,7 +538,7 @@ def lsa_gram_update(spark, d):
 def lsa_update(spark, d):
     vectors, raw = X.model_vectors(spark, d), P.posts(spark, d)
     old = TP.fit_lsa(D.docs_of(vectors, P.in_years(raw, None, SPLIT_YEAR)), X.TOPICS)
-    new = D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1, 9998))
+    new = D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1))
     return TP.update_lsa(old, new, X.TOPICS, X.size(spark, d), DECAY)
 
 

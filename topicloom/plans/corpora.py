@@ -1,4 +1,4 @@
-"""Shared stages of the catalogue: the English corpus and fixed model tables.
+"""Shared stages of the catalogue: the normalised corpus and fixed model tables.
 
 Normalised documents, the dictionary and the bag of words feed most queries.
 Each is written once per session and folder and read back, as a production run
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, scale, vectors
-from ..runtime import materialise
+from ..runtime import materialise, on_clean_up
 from ..sources import posts as P
 
 TOPICS = 6
@@ -21,6 +21,7 @@ MODELS = 4
 CLUSTERS = 7
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
+on_clean_up(_written.clear)
 
 
 def once(spark: SparkSession, directory: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -30,10 +31,6 @@ def once(spark: SparkSession, directory: str, name: str, make: Callable[[], Data
     return _written[key]
 
 
-def english(spark: SparkSession, directory: str) -> DataFrame:
-    return scale.spread(P.posts(spark, directory).filter(F.col("lang") == "en"))
-
-
 def texts(spark: SparkSession, directory: str) -> DataFrame:
     return scale.spread(P.posts(spark, directory))
 
@@ -43,8 +40,8 @@ def pages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, directory: str) -> DataFrame:
-    """(id, tokens): normalised English posts."""
-    return once(spark, directory, "docs", lambda: corpus.normalised_docs(english(spark, directory)))
+    """(id, tokens): normalised posts, in all languages as the rules are applied to all."""
+    return once(spark, directory, "docs", lambda: corpus.normalised_docs(texts(spark, directory)))
 
 
 def dictionary(spark: SparkSession, directory: str) -> DataFrame:

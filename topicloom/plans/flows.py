@@ -67,12 +67,12 @@ def fit_topics(corpus_: Corpus, k: int = 6, **options) -> TopicRun:
     return TopicRun(corpus_, topics.lda_topic_term(model), topics.lda_doc_topic(model, corpus_.vectors))
 
 
-def fit_ensemble(corpus_: Corpus, k: int, models: int, eps: float | None = None, min_samples: int | None = None,
+def fit_ensemble(corpus_: Corpus, k: int, models: int, eps: float | None = 0.1, min_samples: int | None = None,
                  min_cores: int | None = None, seed: int = 1, **options):
     """Fit the models, compare their topics, keep the stable ones.
 
     Returns (topics, distances, clusters, valid, stable). ``eps=None`` takes
-    the largest distance, as the wide re-clustering does.
+    the largest distance, which joins all that any chain of topics connects.
     """
     stacked = topics.lda_collection(corpus_.vectors, k, [seed + i for i in range(models)], **options)
     table = materialise(ensemble.stack(stacked, k), "ensemble")

@@ -15,7 +15,7 @@ from ..functions.wordlists import (
     KEYWORDS,
     LEMMA_EXCEPTIONS,
     NOT_PLURAL,
-    SENTENCE_PATTERN,
+    SENTENCE_END,
     STOP_WORDS,
     TAG_LEXICON,
     TAG_SUFFIXES,
@@ -102,6 +102,8 @@ def blocks(c: str) -> str:
     marked = f"replace(replace({c}, chr(1), ''), chr(2), '')"
     marked = rf"regexp_replace({marked}, '(?i)<(?:{names})(?:\s[^>]*)?>', chr(1), 'g')"
     marked = rf"regexp_replace({marked}, '(?i)</(?:{names})\s*>', chr(2), 'g')"
+    for _ in range(2):  # text between two closing tags is still in the outer block
+        marked = rf"regexp_replace({marked}, '\x02([^\x01\x02]+)\x02', chr(2) || chr(1) || '\1' || chr(2), 'g')"
     return rf"regexp_extract_all({marked}, '\x01([^\x01\x02]*)', 1)"
 
 
@@ -120,7 +122,7 @@ CTE["posts"] = """SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, te
     DATE '2012-01-01' + CAST((doc_id * 37) % 3653 AS INTEGER) AS creation_date FROM documents"""
 CTE["html_posts"] = """SELECT page_id AS id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
     html AS body, DATE '2012-01-01' + CAST((page_id * 37) % 3653 AS INTEGER) AS creation_date FROM pages"""
-CTE["en"] = "SELECT * FROM posts WHERE lang = 'en'"
+CTE["en"] = "SELECT * FROM posts"  # the corpus: all posts
 
 
 def words_of(source: str, text: str = "body") -> str:
@@ -134,10 +136,10 @@ CTE["paras"] = f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1
     SELECT id, k, {trim(plain('block'))} AS text FROM (
     SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS block FROM (SELECT id, {blocks('body')} AS l FROM html_posts)))
     WHERE text <> ''"""
-CTE["sents"] = f"""SELECT id, para, row_number() OVER (PARTITION BY id, para ORDER BY k) - 1 AS sent, text FROM (
+CTE["sents"] = rf"""SELECT id, para, row_number() OVER (PARTITION BY id, para ORDER BY k) - 1 AS sent, text FROM (
     SELECT id, para, k, {trim('s')} AS text FROM (
     SELECT id, para, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM
-    (SELECT id, para, regexp_extract_all(text, {q(SENTENCE_PATTERN)}) AS l FROM paras))) WHERE text <> ''"""
+    (SELECT id, para, string_split(regexp_replace(replace(text, chr(3), ''), {q(SENTENCE_END)}, '\1' || chr(3) || '\2', 'g'), chr(3)) AS l FROM paras))) WHERE text <> ''"""
 CTE["flat"] = f"""SELECT id, para, sent, pos, token, {tag('token')} AS tag FROM (
     SELECT id, para, sent, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token FROM
     (SELECT id, para, sent, regexp_extract_all(text, {q(TOKEN_PATTERN)}) AS l FROM sents))"""
@@ -347,9 +349,6 @@ BODIES: dict[str, str] = {
     "row_count": "SELECT count(*) AS n FROM posts",
     "batch_numbers": "SELECT id, r AS row_no, r // 50 AS batch FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM posts)",
     "roundtrip_csv": "SELECT id, title, source FROM posts",
-    "log_convergence": """SELECT (row_number() OVER (ORDER BY doc_id) - 1) * 10 AS iteration,
-        -(8 + (n_chars % 1000) / 1000.0)::DOUBLE AS likelihood, (n_chars + 0.5)::DOUBLE AS perplexity
-        FROM documents WHERE doc_id % 3 = 0""",
     "keyword_filter": rf"""SELECT id, title FROM posts WHERE
         regexp_matches(body, '(?i)(^|[^\p{{L}}\p{{N}}_])({"|".join(KEYWORDS)})([^\p{{L}}\p{{N}}_]|$)')""",
     "year_filter": f"SELECT id, creation_date::VARCHAR AS creation_date FROM posts WHERE {year_range(2014, 2016)}",
@@ -369,7 +368,7 @@ BODIES: dict[str, str] = {
     "plain_text": f"SELECT id, {plain('body')} AS body FROM html_posts",
     "sentences": "SELECT id, para, sent, text FROM sents",
     "tokens": "SELECT id, pos, token FROM all_tokens",
-    "pos_tags": f"SELECT token, {tag('token')} AS tag, count(*) AS n FROM all_tokens GROUP BY token",
+    "pos_tags": f"SELECT id, pos, token, {tag('token')} AS tag FROM all_tokens",
     "nested_docs": """SELECT h.id, coalesce(n_paras, 0) AS n_paras, coalesce(n_sents, 0) AS n_sents, coalesce(n_tokens, 0) AS n_tokens
         FROM html_posts h LEFT JOIN (SELECT id, count(DISTINCT para) AS n_paras, count(DISTINCT (para, sent)) AS n_sents,
         count(*) AS n_tokens FROM flat GROUP BY id) USING (id)""",
@@ -387,19 +386,19 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT id, title, creation_date FROM html_posts) WHERE {year_range(2012, 2014)}""",
     "per_year_limit": """SELECT id, year FROM (SELECT id, year, row_number() OVER (PARTITION BY year ORDER BY id) AS k
         FROM status) WHERE k <= 5""",
-    "drop_punct": r"SELECT token, count(*) AS n FROM all_tokens WHERE NOT regexp_matches(token, '^\p{P}*$') GROUP BY token",
-    "drop_stopwords": f"SELECT token, count(*) AS n FROM all_tokens WHERE lower(token) NOT IN {listed(STOP_WORDS)} GROUP BY token",
-    "drop_short": "SELECT token, count(*) AS n FROM all_tokens WHERE length(token) <> 1 GROUP BY token",
-    "lemmas": f"""SELECT token, tag, {lemma('token', 'tag')} AS lemma, n FROM (SELECT token, {tag('token')} AS tag, count(*) AS n
-        FROM en_tokens GROUP BY token)""",
+    "drop_punct": r"SELECT id, pos, token FROM all_tokens WHERE NOT regexp_matches(token, '^\p{P}*$')",
+    "drop_stopwords": f"SELECT id, pos, token FROM all_tokens WHERE lower(token) NOT IN {listed(STOP_WORDS)}",
+    "drop_short": "SELECT id, pos, token FROM all_tokens WHERE length(token) <> 1",
+    "lemmas": f"""SELECT id, pos, token, tag, {lemma('token', 'tag')} AS lemma FROM (SELECT id, pos, token, {tag('token')} AS tag
+        FROM all_tokens)""",
     "normalise_docs": """SELECT en.id, coalesce(t.tokens, '') AS tokens FROM en LEFT JOIN
         (SELECT id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM norm GROUP BY id) t USING (id)""",
-    "stem_tokens": f"""SELECT token, CASE WHEN ends_with(token, 'ies') AND NOT {ends('token', ('eies', 'aies'))}
+    "stem_tokens": f"""SELECT id, pos, token, CASE WHEN ends_with(token, 'ies') AND NOT {ends('token', ('eies', 'aies'))}
         THEN substring(token, 1, length(token) - 3) || 'y'
         WHEN ends_with(token, 'es') AND NOT {ends('token', ('aes', 'ees', 'oes'))} THEN substring(token, 1, length(token) - 1)
         WHEN ends_with(token, 's') AND NOT {ends('token', ('us', 'ss'))} THEN substring(token, 1, length(token) - 1)
-        ELSE token END AS stem, count(*) AS n FROM ({words_of('en', 'lower(body)')})
-        WHERE NOT contains({q(ASCII_PUNCTUATION)}, token) GROUP BY token""",
+        ELSE token END AS stem FROM ({words_of('en', 'lower(body)')})
+        WHERE NOT contains({q(ASCII_PUNCTUATION)}, token)""",
     "frequent_terms": """SELECT year, token, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, token) AS rank
         FROM (SELECT year(creation_date) AS year, token, count(*) AS n FROM norm JOIN en USING (id) GROUP BY ALL)) WHERE rank <= 20""",
     "bigram_counts": "SELECT token AS a, '' AS b, n FROM bi_one UNION ALL SELECT a, b, n FROM bi_two",

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ DEFAULTS = {
 
 
 _made: list[str] = []  # paths handed out by run_path
+_forget: list[Callable[[], None]] = []  # what else refers to those paths
 
 
 def session(master: str | None = None, app: str = "topicloom", **conf: str) -> SparkSession:
@@ -86,8 +88,15 @@ def run_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def on_clean_up(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when written tables are deleted."""
+    _forget.append(forget)
+
+
 def clean_up(spark: SparkSession) -> None:
-    """Delete the tables this session wrote under the shared folder."""
+    """Delete the tables and checkpoints this session wrote under the shared folder."""
+    for forget in _forget:
+        forget()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
@@ -100,7 +109,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    path = spark.sparkContext.getCheckpointDir()
+    if path and path not in _made:
+        _made.append(path)  # Spark's own sub-folder of this session
+    return made
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -60,10 +60,6 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string, mode string")
 
 
-def column_names(df: DataFrame) -> list[str]:
-    return list(df.columns)
-
-
 def newest(df: DataFrame, n: int = 100) -> DataFrame:
     """The n newest posts; ties go to the smaller id (top-k, no global sort)."""
     return df.orderBy(F.col("creation_date").desc(), "id").limit(n)
@@ -79,13 +75,12 @@ def keyword_filter(df: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFra
 def in_years(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Posts of the years start..end; ``None`` leaves a side open.
 
-    A range on the date itself, so it reaches the Parquet scan.
+    A range on the date column itself, which a scan can prune by if the table stores it.
     """
     if start is not None:
         df = df.filter(F.col("creation_date") >= F.lit(f"{start}-01-01").cast("date"))
-    last = start if end is None else end
-    if last is not None:
-        df = df.filter(F.col("creation_date") < F.lit(f"{last + 1}-01-01").cast("date"))
+    if end is not None:
+        df = df.filter(F.col("creation_date") < F.lit(f"{end + 1}-01-01").cast("date"))
     return df
 
 
