@@ -1,3 +1,59 @@
 """SQL equivalents of the operators' queries, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+from . import decontaminate as D
+from . import host_rules as H
+from . import warc_writer as W
+
+_SPACE = r"\x20\x09-\x0D"
+
+RULES = rf"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^{_SPACE}]+') AS l FROM d),
+g AS (SELECT doc_id, i, list_slice(l, i, i + {H.WINDOW - 1}) AS win FROM
+    (SELECT doc_id, l, unnest(range(1, len(l) - {H.WINDOW - 2})) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range({H.WINDOW})) AS k) GROUP BY doc_id),
+dl AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM
+    (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^{_SPACE}]')
+    GROUP BY doc_id, line) GROUP BY doc_id),
+b AS (SELECT d.doc_id, host, len(l) AS n_words, length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(rw.n, 0) AS n_repeat_words FROM d JOIN w USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+f AS (SELECT *, n_words < {H.MIN_WORDS} OR 100 * n_repeat_words > {H.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
+h AS (SELECT host, count(*) AS host_docs, sum(base_failed::INT)::BIGINT AS host_failed FROM f GROUP BY host),
+a AS (SELECT sum(host_docs)::DOUBLE AS n, sum(host_failed) / sum(host_docs)::DOUBLE AS p, count(*) AS hosts,
+    sum(host_failed * host_failed / host_docs::DOUBLE) AS q FROM h),
+v AS (SELECT p, q / n - p * p - p * (1 - p) * hosts / n AS spread FROM a),
+s AS (SELECT p, CASE WHEN spread > 0 THEN least(greatest(p * (1 - p) / spread - 1, {H.MIN_STRENGTH}), {H.MAX_STRENGTH})
+    ELSE {H.MAX_STRENGTH} END AS s FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND (host_failed + p * s) / (host_docs + s) <= {H.MAX_HOST_RATE} AS kept, host_docs, host_failed
+FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host, s"""
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS l FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, size, list_slice(l, k, k + size - 1) AS win FROM
+    (SELECT item, l, least({D.ITEM_WINDOW}, len(l)) AS size, unnest(range(1, len(l) - least({D.ITEM_WINDOW}, len(l)) + 2)) AS k
+    FROM i WHERE len(l) > 0)),
+dw AS (SELECT doc_id, size, k, list_slice(l, k, k + size - 1) AS win FROM
+    (SELECT doc_id, l, size, unnest(range(1, len(l) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM iw))),
+m AS (SELECT doc_id, item, k, dw.size FROM dw JOIN iw USING (size, win)),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM
+    (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND {D.SHARE} * n_hit >= len(l), false) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+ARCHIVES = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS size,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages)
+SELECT page_id, size AS payload_bytes, sha1(h) AS payload_digest,
+    CASE WHEN size >= {W.REVISIT_BYTES} AND latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN size >= {W.REVISIT_BYTES} AND latest <> page_id THEN latest END AS refers_to FROM p"""
+
+ORACLES: dict[str, str] = {"op2_host_rules": RULES, "op4_decontamination": CONTAMINATION, "op6_warc": ARCHIVES}

@@ -30,7 +30,7 @@ from .host_rules import base_counts, repeats
 SAMPLE = 20_000
 BINS, PAIR_BINS = 32, 8
 ROUNDS, PAIRS, PAIR_ROUNDS = 120, 8, 40
-RATE, LEAST_HESSIAN = 0.15, 4.0
+RATE, LEAST_HESSIAN = 0.15, 1.0
 PREDICT = 0.3
 
 _UPPER, _LOWER = B.byte_set(bytes(range(65, 91))), B.byte_set(bytes(range(97, 123)))
