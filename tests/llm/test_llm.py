@@ -235,6 +235,17 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9]
 
 
+def test_leftover_members_meet_the_class_of_the_hub(spark, monkeypatch):
+    """h-b-a is a chain, h the hub, a unlike h; d, e and f are alike, and unlike the others."""
+    monkeypatch.setattr(prob_minhash, "CHUNK", 2)
+    sets = {1: range(0, 100), 2: range(8, 108), 3: range(16, 116), 4: range(500, 600), 5: range(505, 605), 6: range(510, 610)}
+    table = spark.createDataFrame([(n, list(s)) for n, s in sets.items()], "node long, shingles array<long>")
+    rest = spark.createDataFrame([(n, 7, n == 2) for n in sets if n > 1], "node long, band long, same boolean")
+    edges = prob_minhash.compare_rest(rest, table).union(spark.createDataFrame([(2, 1)], "node long, hub long"))
+    got = {r.node: r.root for r in prob_minhash.components(edges).collect()}
+    assert got == {2: 1, 3: 1, 5: 4, 6: 4}
+
+
 def test_secrets():
     number = b"\x02\x01\x01"
     rsa = b"\x02\x01\x00" + number * 8

@@ -8,9 +8,11 @@ their weighted shingles. Bands of registers are bucketed, and in each bucket the
 are compared with the bucket's hub: the member that meets most texts over all its
 buckets, as the source of a family of edited copies does. Comparison is exact: shared
 over all distinct shingles, at least 0.8. Members that are in another class than their
-hub after that are compared with each other, exactly and all of them: what is left of a
-bucket is dealt into cells of at most two chunks of ``CHUNK`` members, compared inside
-the cell, and only links leave it. Links are joined to classes by alternating star steps.
+hub after that are compared with each other and with the members of the hub's class,
+exactly and all of them: they are dealt into cells of at most two chunks of ``CHUNK``
+members, compared inside the cell, and only edges of classes leave it. So the classes are
+those of all links between texts that share a bucket. Links are joined to classes by
+alternating star steps.
 
 Equal texts are put together first, by a digest, and enter as one.
 
@@ -139,9 +141,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compare_cell(cell: pa.Table) -> pa.Table:
-    """Links (node, hub) between the two chunks i and j of a cell, or within it if they are one.
+    """Class edges (node, hub) between the two chunks i and j of a cell, or within it if they are one.
 
-    Shared shingles are counted by products of blocks of the members' 0/1 rows.
+    Shared shingles are counted by products of blocks of the members' 0/1 rows. Each member
+    is joined to the first one that its links lead to inside the cell: no more edges than members.
     """
     sets = cell.column("shingles").combine_chunks()
     sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
@@ -159,20 +162,37 @@ def compare_cell(cell: pa.Table) -> pa.Table:
         rows[member[a:b], column[a:b] - low] = 1
         shared += rows @ rows.T
     alike = OF * shared >= SHARED * (sizes[:, None] + sizes[None, :] - shared)
-    chunk = cell.column("chunk").to_numpy()
-    if (chunk != chunk[0]).any():
+    if cell.column("i")[0].as_py() != cell.column("j")[0].as_py():
+        chunk = cell.column("chunk").to_numpy()
         alike &= chunk[:, None] != chunk[None, :]
-    one, other = np.nonzero(np.triu(alike, 1))
+    np.fill_diagonal(alike, True)
+    first, before = np.arange(len(sizes)), None
+    while before is None or (first != before).any():
+        before, first = first, np.where(alike, first[None, :], len(sizes)).min(axis=1)
+        first = first[first]
+    joined = np.flatnonzero(first != np.arange(len(sizes)))
     nodes = cell.column("node")
-    return pa.table({"node": nodes.take(pa.array(one)), "hub": nodes.take(pa.array(other))})
+    return pa.table({"node": nodes.take(pa.array(joined)), "hub": nodes.take(pa.array(first[joined]))})
 
 
 def compare_rest(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (node, hub) among all members of each band of ``rest`` (node, band)."""
-    sizes = materialise(rest.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("_n"), F.count("*").alias("_size"))
-                        .filter("_size > 1").drop("_size"), "rest-sizes")
-    dealt = (rest.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_n")))
-             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    """Class edges among the members of each band of ``rest`` (node, band, same).
+
+    ``same`` marks the members of the hub's class. The others are compared with each other
+    and with those. Their chunks are numbered from 0 up, those of the hub's class from -1 down.
+    """
+    other = ~F.col("same")
+    sizes = materialise(rest.groupBy("band").agg(F.ceil(F.count_if(other) / CHUNK).alias("_n"),
+                                                 F.ceil(F.count_if("same") / CHUNK).alias("_m"),
+                                                 F.count("*").alias("_size"))
+                        .filter("_size > 1 and _n > 0").drop("_size"), "rest-sizes")
+    others = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    theirs = F.when(F.col("_m") > 0, F.sequence(F.lit(-1).cast("long"), -F.col("_m"))).otherwise(
+        F.array().cast("array<long>"))
+    place = F.xxhash64("node")
+    dealt = (rest.join(sizes, "band")
+             .withColumn("chunk", F.when(other, F.pmod(place, F.col("_n"))).otherwise(-1 - F.pmod(place, F.col("_m"))))
+             .withColumn("_other", F.explode(F.when(other, F.concat(others, theirs)).otherwise(others)))
              .select("node", "band", "chunk", F.least("chunk", "_other").alias("i"),
                      F.greatest("chunk", "_other").alias("j")))
     cells = dealt.join(sets, "node").groupBy("band", "i", "j")
@@ -195,8 +215,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     alike = checked.filter("alike").select("node", "hub")
     roots = materialise(components(alike), "hub-roots")
     theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("_theirs"))
-    rest = tried.join(roots, "node", "left").join(theirs, "hub", "left").filter(
-        F.coalesce("root", "node") != F.coalesce("_theirs", "hub")).select("node", "band")
+    rest = tried.join(roots, "node", "left").join(theirs, "hub", "left").select(
+        "node", "band", (F.coalesce("root", "node") == F.coalesce("_theirs", "hub")).alias("same"))
     return alike.union(compare_rest(materialise(rest, "band-rest"), sets))
 
 
