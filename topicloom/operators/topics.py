@@ -31,17 +31,17 @@ MIN_PROBABILITY = 0.01
 
 def fit_lda(vectors: DataFrame, k: int, passes: int = 1, chunk: int = 2000, seed: int = 1,
             decay: float = 0.5, offset: float = 1.0, alpha: str | float = "symmetric",
-            eta: float | None = None, min_share: float = 0.05):
+            eta: float | None = None, share: float | None = None):
     """Online variational LDA.
 
-    A step takes ``chunk`` documents, so ``passes * N / chunk`` steps make the
-    passes. Each step scans the table for its sample: on a large corpus a step
-    takes ``min_share`` of it instead, which bounds the scans per pass.
+    A step takes ``chunk`` documents at any size, so ``passes * N / chunk`` steps
+    make the passes. Each step scans the table for its sample: for a large corpus
+    name the ``share`` of it that a step takes instead, so a pass is 1 / share scans.
     """
     kept = non_empty(vectors).select("id", "features").persist()
     try:
         total = max(kept.count(), 1)
-        share = min(1.0, max(chunk / total, min_share))
+        share = min(1.0, chunk / total if share is None else share)
         lda = LDA(k=k, seed=seed, optimizer="online", maxIter=passes * math.ceil(1 / share),
                   subsamplingRate=share, learningDecay=max(decay, 0.5000001), learningOffset=offset,
                   optimizeDocConcentration=alpha == "auto",
@@ -173,21 +173,26 @@ def term_topic_share(topic_term: DataFrame) -> DataFrame:
 
 #: Up to this vocabulary the term-by-term matrix is summed in one pass.
 GRAM_TERMS = 2048
+#: Singular values below this part of the largest are rounding, and left out.
+LEAST_SIGMA = 1e-6
 
 
 def _svd(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (as columns) and values of the rows ``features``.
 
     MLlib's truncated SVD goes over the rows once per Lanczos step; while the
-    vocabulary is small one pass for the Gram matrix does.
+    vocabulary is small one pass for the Gram matrix does. Both give the same factors.
     """
     rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
     if rows.numCols() > GRAM_TERMS:
-        svd = rows.computeSVD(k)
-        return svd.V.toArray(), svd.s.toArray()
-    values, columns = np.linalg.eigh(rows.computeGramianMatrix().toArray())
-    largest = np.argsort(values)[::-1][:k]
-    return columns[:, largest], np.sqrt(np.maximum(values[largest], 0.0))
+        svd = rows.computeSVD(min(k, rows.numCols()))
+        columns, sigma = svd.V.toArray(), svd.s.toArray()
+    else:
+        values, columns = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+        largest = np.argsort(values)[::-1][:k]
+        columns, sigma = columns[:, largest], np.sqrt(np.maximum(values[largest], 0.0))
+    kept = sigma > LEAST_SIGMA * sigma.max(initial=0.0)
+    return columns[:, kept], sigma[kept]
 
 
 def _factors(spark: SparkSession, v: np.ndarray, values: Iterable[float]) -> DataFrame:

@@ -243,6 +243,11 @@ def flatten_docs(spark, d):
     return D.flatten(D.tagged_docs(X.pages(spark, d)))
 
 
+@query
+def html_tokens(spark, d):
+    return flows.html_tokens(X.pages(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
 # --- joins and set operations --------------------------------------------
 
 def _clean_text_posts(spark, d):
@@ -785,3 +790,29 @@ def post_trend(spark, d):
 def topic_trend(spark, d):
     dated = D.with_dates(_dominant(spark, d), P.posts(spark, d))
     return A.topic_trend(dated).select(day("period"), "topic_id", "n", r6("share"))
+
+
+# --- end to end ----------------------------------------------------------
+
+def _analysed(spark, d):
+    raw = X.texts(spark, d)
+    run = flows.fit_topics(flows.build_corpus(raw, 2012, 2021), X.TOPICS, **LDA_OPTIONS)
+    return flows.analyse(run, raw)
+
+
+@query
+def flow_documents(spark, d):
+    """Posts to corpus to LDA to the document table."""
+    return _analysed(spark, d)[0].withColumn("Datetime", F.col("Datetime").cast("string"))
+
+
+@query
+def flow_trend(spark, d):
+    """Posts to corpus to LDA to the topics' trend."""
+    return _analysed(spark, d)[1].select(day("period"), "topic_id", "n", r6("share"))
+
+
+@query
+def flow_cluster_words(spark, d):
+    """Posts to corpus to clusters to their words."""
+    return flows.cluster_posts(flows.build_corpus(X.texts(spark, d), 2012, 2021))[1]

@@ -40,8 +40,12 @@ def clean_posts(raw: DataFrame) -> DataFrame:
 
 
 def html_tokens(raw: DataFrame) -> DataFrame:
-    """Web posts to (id, tokens): clean, paragraphs, sentences, tags, normalise."""
-    return corpus.normalise(corpus.tagged_docs(clean_posts(raw), "content"))
+    """Web posts to (id, tokens): clean, main content, paragraphs, sentences, tags, normalise.
+
+    A post without main content has no tokens.
+    """
+    content = F.coalesce(H.main_content(F.col("content")), F.lit(""))
+    return corpus.normalise(corpus.tagged_docs(clean_posts(raw).select("id", content.alias("content")), "content"))
 
 
 def build_corpus(texts: DataFrame, start: int | None = None, end: int | None = None, ngrams: str | None = "b",

@@ -132,17 +132,39 @@ def words_of(source: str, text: str = "body") -> str:
 
 CTE["all_tokens"] = words_of("posts")
 CTE["en_tokens"] = words_of("en")
-CTE["paras"] = f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS para, text FROM (
+
+
+def tagged(source: str, made: str) -> None:
+    """Paragraphs, sentences and tagged tokens of the pages of ``source``."""
+    CTE[f"{made}paras"] = f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS para, text FROM (
     SELECT id, k, {trim(plain('block'))} AS text FROM (
-    SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS block FROM (SELECT id, {blocks('body')} AS l FROM html_posts)))
+    SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS block FROM (SELECT id, {blocks('body')} AS l FROM {source})))
     WHERE text <> ''"""
-CTE["sents"] = rf"""SELECT id, para, row_number() OVER (PARTITION BY id, para ORDER BY k) - 1 AS sent, text FROM (
+    CTE[f"{made}sents"] = rf"""SELECT id, para, row_number() OVER (PARTITION BY id, para ORDER BY k) - 1 AS sent, text FROM (
     SELECT id, para, k, {trim('s')} AS text FROM (
     SELECT id, para, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM
-    (SELECT id, para, string_split(regexp_replace(replace(text, chr(3), ''), {q(SENTENCE_END)}, '\1' || chr(3) || '\2', 'g'), chr(3)) AS l FROM paras))) WHERE text <> ''"""
-CTE["flat"] = f"""SELECT id, para, sent, pos, token, {tag('token')} AS tag FROM (
+    (SELECT id, para, string_split(regexp_replace(replace(text, chr(3), ''), {q(SENTENCE_END)}, '\1' || chr(3) || '\2', 'g'), chr(3)) AS l FROM {made}paras))) WHERE text <> ''"""
+    CTE[f"{made}flat"] = f"""SELECT id, para, sent, pos, token, {tag('token')} AS tag FROM (
     SELECT id, para, sent, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token FROM
-    (SELECT id, para, sent, regexp_extract_all(text, {q(TOKEN_PATTERN)}) AS l FROM sents))"""
+    (SELECT id, para, sent, regexp_extract_all(text, {q(TOKEN_PATTERN)}) AS l FROM {made}sents))"""
+
+
+def main_of(source: str) -> str:
+    """(id, content): main content of the pages of ``source``, null if none."""
+    return f"""SELECT h.id, k.content FROM {source} h LEFT JOIN (
+        SELECT id, string_agg('<p>' || {trim('block')} || '</p>', chr(10) ORDER BY k) AS content FROM (
+        SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS block FROM
+        (SELECT id, {blocks(f"regexp_replace(body, {q(H.BOILERPLATE)}, '', 'g')")} AS l FROM {source}))
+        WHERE length({plain('block')}) >= 25 AND length({plain(f"array_to_string(regexp_extract_all(block, {q(H.ANCHOR)}, 1), '')")})
+        < length({plain('block')}) * 0.5 GROUP BY id) k USING (id)"""
+
+
+tagged("html_posts", "")
+CTE["web_cleaned"] = f"SELECT id, {clean('title', 'body')} AS body FROM html_posts"
+CTE["web_main"] = f"SELECT id, coalesce(content, '') AS body FROM ({main_of('web_cleaned')})"
+tagged("web_main", "web_")
+CTE["web_norm"] = f"""SELECT id, para, sent, pos, lower({lemma('token', 'tag')}) AS token FROM
+    (SELECT id, para, sent, pos, token, tag FROM web_flat WHERE {KEEP})"""
 CTE["kept"] = f"SELECT id, pos, token, {tag('token')} AS tag FROM en_tokens WHERE {KEEP}"
 CTE["norm"] = f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, token FROM
     (SELECT id, pos, lower({lemma('token', 'tag')}) AS token FROM kept) WHERE length(token) > 1"""
@@ -358,12 +380,7 @@ BODIES: dict[str, str] = {
     "strip_links_strict": f"SELECT id, {links('body', True)} AS body FROM html_posts",
     "strip_logs": f"SELECT id, {logs('body')} AS body FROM html_posts",
     "clean_posts": f"SELECT id, {clean('title', 'body')} AS content FROM html_posts",
-    "main_content": f"""SELECT h.id, k.content FROM html_posts h LEFT JOIN (
-        SELECT id, string_agg('<p>' || {trim('block')} || '</p>', chr(10) ORDER BY k) AS content FROM (
-        SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS block FROM
-        (SELECT id, {blocks(f"regexp_replace(body, {q(H.BOILERPLATE)}, '', 'g')")} AS l FROM html_posts))
-        WHERE length({plain('block')}) >= 25 AND length({plain(f"array_to_string(regexp_extract_all(block, {q(H.ANCHOR)}, 1), '')")})
-        < length({plain('block')}) * 0.5 GROUP BY id) k USING (id)""",
+    "main_content": main_of("html_posts"),
     "paragraphs": "SELECT id, para, text FROM paras",
     "plain_text": f"SELECT id, {plain('body')} AS body FROM html_posts",
     "sentences": "SELECT id, para, sent, text FROM sents",
@@ -375,6 +392,8 @@ BODIES: dict[str, str] = {
     "assembled_docs": "SELECT id, string_agg(token || '/' || tag, ' ' ORDER BY para, sent, pos) AS text FROM flat GROUP BY id",
     "parse_quarantine": """SELECT h.id, h.id % 10 <> 0 AS parse_ok, CASE WHEN h.id % 10 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_tokens
         FROM html_posts h LEFT JOIN (SELECT id, count(*) AS n FROM flat GROUP BY id) USING (id)""",
+    "html_tokens": """SELECT h.id, coalesce(t.tokens, '') AS tokens FROM html_posts h LEFT JOIN (SELECT id,
+        string_agg(token, ' ' ORDER BY para, sent, pos) AS tokens FROM web_norm WHERE length(token) > 1 GROUP BY id) t USING (id)""",
     "flatten_docs": "SELECT id, para, sent, pos, token, tag FROM flat",
     "docs_semi_join": f"""SELECT id, length({clean('title', 'body')}) AS n_chars FROM posts
         WHERE id IN (SELECT id FROM posts WHERE {year_range(2015, 2015)})""",
