@@ -182,6 +182,51 @@ def test_lda_recovers_the_plant(planted):
     assert TP.lda_score(model, vectors) < 0
 
 
+def test_lda_update_reads_the_new_batch_only(planted):
+    docs, terms, _, _ = planted
+    vectors = V.vectors(docs, terms, mode="count")
+    old = TP.fit_lda(vectors.filter("id % 2 = 0"), 3, passes=30, seed=7)
+    before = old.lam.copy()
+    new = TP.update_lda(old, vectors.filter("id % 2 = 1"), passes=10)
+    assert (old.lam == before).all() and old.docs == 60 and new.docs == 120 and new.steps == 40
+    assert purity(A.dominant_topic(TP.lda_doc_topic(new, vectors), docs).collect())
+    same = TP.update_lda(new, vectors.filter("id < 0"))
+    assert (same.lam == new.lam).all() and same.docs == 120
+
+
+def test_lda_steps_and_learned_priors(planted, monkeypatch):
+    docs, terms, _, _ = planted
+    vectors = V.vectors(docs, terms, mode="count")
+    model = TP.fit_lda(vectors, 3, passes=10, chunk=30, seed=7, alpha="auto")
+    assert model.steps == 40 and (model.alpha > 0).all() and not np.allclose(model.alpha, 1 / 3)
+    assert purity(A.dominant_topic(TP.lda_doc_topic(model, vectors), docs).collect())
+    bow = V.bag_of_words(docs, terms)
+    assert TP.lda_score(model, vectors, bow, terms, "u_mass") <= 1
+    worse = TP.fit_lda(vectors, 3, passes=0, seed=7)
+    assert TP.lda_score(worse, vectors) < TP.lda_score(model, vectors)
+
+
+def test_digamma_and_trigamma():
+    assert abs(TP._psi(1.0) + 0.5772156649015329) < 1e-9 and abs(TP._psi1(1.0) - np.pi ** 2 / 6) < 1e-8
+    assert abs(TP._psi(0.5) + 1.9635100260214235) < 1e-9
+
+
+def test_dictionaries_beyond_a_broadcast(planted, monkeypatch):
+    docs, terms, vectors, _ = planted
+    counts, total = V.dictionary(docs), docs.count()
+    want = [tuple(r) for r in V.prune(counts, total, 1, 1.0, 20).orderBy("term_id").collect()]
+
+    def dense(df):
+        rows = df.select("id", vector_to_array("features").alias("v"), "empty").collect()
+        return {r.id: ([round(x, 9) for x in r.v], r.empty) for r in rows}
+
+    wanted = {mode: dense(V.vectors(docs, terms, mode=mode)) for mode in ("tfidf", "count")}
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 5)
+    assert [tuple(r) for r in V.prune(counts, total, 1, 1.0, 20).orderBy("term_id").collect()] == want
+    for mode, expected in wanted.items():
+        assert dense(V.vectors(docs, terms, mode=mode)) == expected
+
+
 def test_nmf_recovers_the_plant_and_is_not_negative(planted):
     _, _, _, weights = planted
     topics, docs = TP.fit_nmf(weights, 3, 30, iterations=20, seed=2)

@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .coherence import c_v
+from ..runtime import run_path
 from .clusters import non_empty
+from .coherence import c_v, u_mass
 from .pairs import all_pairs, by_row, pair_sums
 from .vectors import doc_arrays
 
@@ -29,82 +30,294 @@ MIN_PROBABILITY = 0.01
 
 # --- LDA -----------------------------------------------------------------
 
-def fit_lda(vectors: DataFrame, k: int, passes: int = 1, chunk: int = 2000, seed: int = 1,
-            decay: float = 0.5, offset: float = 1.0, alpha: str | float = "symmetric",
-            eta: float | None = None, share: float | None = None):
-    """Online variational LDA.
+@dataclass
+class LdaModel:
+    """Topics as Dirichlet parameters ``lam`` (k x terms), and what a later batch goes on from."""
+
+    lam: np.ndarray
+    alpha: np.ndarray
+    eta: float
+    auto: bool = False  # alpha is learned
+    steps: int = 0
+    docs: int = 0  # documents seen
+
+    @property
+    def topics(self) -> np.ndarray:
+        return self.lam / self.lam.sum(axis=1, keepdims=True)
+
+
+def _psi(x: np.ndarray) -> np.ndarray:
+    """Digamma: recurrence up to 6, then the asymptotic series."""
+    x, below = np.array(x, dtype=float), 0.0
+    for _ in range(6):
+        below, x = below + 1 / x, x + 1
+    i = 1 / (x * x)
+    return np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i / 240))) - below
+
+
+def _psi1(x: np.ndarray) -> np.ndarray:
+    """Trigamma, in the same way."""
+    x, below = np.array(x, dtype=float), 0.0
+    for _ in range(6):
+        below, x = below + 1 / (x * x), x + 1
+    i = 1 / (x * x)
+    return below + 1 / x + i / 2 + i / x * (1 / 6 - i * (1 / 30 - i * (1 / 42 - i / 30)))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
 
-    A step takes ``chunk`` documents at any size, so ``passes * N / chunk`` steps
-    make the passes. Each step scans the table for its sample: for a large corpus
-    name the ``share`` of it that a step takes instead, so a pass is 1 / share scans.
+def _mean_log(x: np.ndarray) -> np.ndarray:
+    """E[log] under Dirichlet rows."""
+    return _psi(x) - _psi(x.sum(axis=1, keepdims=True))
+
+
+def _doc_term_rows(vectors: DataFrame) -> DataFrame:
+    """(id, size, index, value) of the vectors that have a term."""
+    parts = non_empty(vectors).select("id", F.unwrap_udt("features").alias("v"))
+    dense = F.sequence(F.lit(0), F.size("v.values") - 1)
+    return parts.filter(F.size("v.values") > 0).select(
+        "id", F.coalesce("v.size", F.size("v.values")).alias("size"),
+        F.coalesce("v.indices", dense).alias("index"), F.col("v.values").alias("value"))
+
+
+def _infer(index: pd.Series, value: pd.Series, alpha: np.ndarray, beta: np.ndarray, rounds: int = 50,
+           enough: float = 1e-3):
+    """(gamma, row, terms, weights, norm) of documents under ``beta`` = exp(E log topics).
+
+    A document that has settled is not touched again, so it does not matter which
+    others are solved with it.
+    """
+    lengths = np.array([len(i) for i in index])
+    terms, weights = np.concatenate(index.to_numpy()).astype(int), np.concatenate(value.to_numpy())
+    row, first = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+    words = beta.T[terms]
+    gamma = np.ones((len(lengths), len(alpha)))
+    moving = np.ones(len(lengths), dtype=bool)
+    for _ in range(rounds):
+        theta = np.exp(_mean_log(gamma))
+        norm = (theta[row] * words).sum(axis=1) + 1e-100
+        fresh = alpha + theta * np.add.reduceat(words * (weights / norm)[:, None], first, axis=0)
+        change = np.abs(fresh - gamma).mean(axis=1)
+        gamma = np.where(moving[:, None], fresh, gamma)
+        moving &= change >= enough
+        if not moving.any():
+            break
+    norm = (np.exp(_mean_log(gamma))[row] * words).sum(axis=1) + 1e-100
+    return gamma, row, terms, weights, norm
+
+
+def _slices(batches: Iterator[pd.DataFrame], size: int = 512) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.iloc[at:at + size]
+
+
+def _step(rows: DataFrame, models: list[LdaModel], total: int, decay: float, offset: float) -> None:
+    """One online step of every model over the same documents, which are read once.
+
+    Tasks solve their documents and sum the expected counts; the driver gets one row
+    per model and term, the size of the models.
+    """
+    betas = [np.exp(_mean_log(model.lam)) for model in models]
+    shared = rows.sparkSession.sparkContext.broadcast([(m.alpha, b) for m, b in zip(models, betas, strict=True)])
+    size, names = models[0].lam.shape[1], [f"c{j}" for j in range(max(len(m.alpha) for m in models))]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # two rows behind the terms: sums of E log theta, number of documents
+        sums = [np.zeros((size + 2, len(alpha))) for alpha, _ in shared.value]
+        for batch in _slices(batches):
+            for sum_, (alpha, beta) in zip(sums, shared.value, strict=True):
+                gamma, row, terms, weights, norm = _infer(batch["index"], batch["value"], alpha, beta)
+                log_theta = _mean_log(gamma)
+                np.add.at(sum_, terms, np.exp(log_theta)[row] * (weights / norm)[:, None])
+                sum_[size] += log_theta.sum(axis=0)
+                sum_[size + 1] += len(batch)
+        for number, sum_ in enumerate(sums):
+            used = np.flatnonzero(sum_.any(axis=1))
+            cells = np.zeros((len(used), len(names)))
+            cells[:, :sum_.shape[1]] = sum_[used]
+            yield pd.DataFrame({"model": np.full(len(used), number), "row": used,
+                                **{name: cells[:, j] for j, name in enumerate(names)}})
+
+    schema = "model int, row long, " + ", ".join(f"{name} double" for name in names)
+    sums = (rows.select("index", "value").mapInPandas(partial, schema)
+            .groupBy("model", "row").agg(*[F.sum(name).alias(name) for name in names])).toArrow()
+    shared.unpersist()
+    owner, at = sums["model"].to_numpy(), sums["row"].to_numpy()
+    cells = np.stack([sums[name].to_numpy() for name in names], axis=1)
+    for number, (model, beta) in enumerate(zip(models, betas, strict=True)):
+        mine, k = owner == number, len(model.alpha)
+        stats = np.zeros((size + 2, k))
+        stats[at[mine]] = cells[mine, :k]
+        docs = stats[size + 1, 0]
+        if not docs:
+            continue
+        rate = (offset + model.steps) ** -decay
+        model.lam = (1 - rate) * model.lam + rate * (model.eta + total / docs * stats[:size].T * beta)
+        if model.auto:
+            model.alpha = _next_alpha(model.alpha, stats[size] / docs, rate)
+        model.steps += 1
+
+
+def _next_alpha(alpha: np.ndarray, mean_log: np.ndarray, rate: float) -> np.ndarray:
+    """Newton step of a Dirichlet's parameters (Minka 2000), left out if it would leave the positive range."""
+    gradient = _psi(alpha.sum()) - _psi(alpha) + mean_log
+    slope, curve = _psi1(alpha.sum()), -_psi1(alpha)
+    shift = (gradient / curve).sum() / (1 / slope + (1 / curve).sum())
+    moved = alpha - rate * (gradient - shift) / curve
+    return moved if (moved > 0).all() else alpha
+
+
+def _bound(rows: DataFrame, model: LdaModel) -> float:
+    """Variational lower bound of the log likelihood per unit of weight."""
+    alpha, log_beta, eta = model.alpha, _mean_log(model.lam), model.eta
+    beta = np.exp(log_beta)
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches):
+            gamma, _, _, weights, norm = _infer(batch["index"], batch["value"], alpha, beta)
+            prior = ((alpha - gamma) * _mean_log(gamma) + _lgamma(gamma) - _lgamma(alpha)).sum()
+            prior += (_lgamma(alpha.sum()) - _lgamma(gamma.sum(axis=1))).sum()
+            yield pd.DataFrame({"bound": [(weights * np.log(norm)).sum() + prior], "words": [weights.sum()]})
+
+    found = (rows.select("index", "value").mapInPandas(bound, "bound double, words double")
+             .agg(F.sum("bound").alias("bound"), F.sum("words").alias("words")).head())
+    if not found.words:
+        return 0.0
+    lam = model.lam
+    topics = ((eta - lam) * log_beta + _lgamma(lam) - _lgamma(eta)).sum()
+    topics += (_lgamma(eta * lam.shape[1]) - _lgamma(lam.sum(axis=1))).sum()
+    return (found.bound + topics) / found.words
+
+
+def _run(vectors: DataFrame, start, passes: int, chunk: int, decay: float, offset: float,
+         choose: bool = False) -> list[LdaModel]:
+    """Models from ``start(terms)`` after ``passes`` over the documents, in steps of about ``chunk``.
+
+    With ``choose`` the one that fits best after a quarter of the passes goes on alone.
+    The documents are dealt to their steps once and written by step, so a pass reads
+    every document once, however many steps and models there are.
     """
-    kept = non_empty(vectors).select("id", "features").persist()
+    spark, rows = vectors.sparkSession, _doc_term_rows(vectors)
+    seen = rows.agg(F.count("*").alias("n"), F.max("size").alias("size")).head()
+    models = start(seen.size or 0)
+    if not seen.n:
+        return models
+    totals = {model.docs + seen.n for model in models}
+    steps = math.ceil(seen.n / chunk)
+    if steps == 1:
+        stored = rows.persist()
+        parts = [stored]
+    else:
+        path, spread = run_path(spark, "lda-steps"), F.xxhash64("id", F.lit("step"))
+        dealt = rows.withColumn("step", F.pmod(spread, F.lit(steps)))
+        dealt.repartition("step", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("step").parquet(path)
+        stored = spark.read.parquet(path)
+        parts = [stored.filter(F.col("step") == i) for i in range(steps)]
     try:
-        total = max(kept.count(), 1)
-        share = min(1.0, chunk / total if share is None else share)
-        lda = LDA(k=k, seed=seed, optimizer="online", maxIter=passes * math.ceil(1 / share),
-                  subsamplingRate=share, learningDecay=max(decay, 0.5000001), learningOffset=offset,
-                  optimizeDocConcentration=alpha == "auto",
-                  topicConcentration=eta if eta is not None else 1.0 / k)
-        lda = lda.setDocConcentration([1.0 / k if isinstance(alpha, str) else float(alpha)] * k)
-        return lda.fit(kept)
+        for number in range(passes):
+            if choose and number == max(1, passes // 4):
+                models = [max(models, key=lambda model: _bound(stored, model))]
+            for part in parts:
+                _step(part, models, max(totals), decay, offset)
     finally:
-        kept.unpersist()
+        if steps == 1:
+            stored.unpersist()
+    for model in models:
+        model.docs += seen.n
+    return models
+
 
+def _fresh(k: int, size: int, seed: int, alpha: str | float, eta: float | None) -> LdaModel:
+    lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, size))
+    return LdaModel(lam, np.full(k, 1.0 / k if isinstance(alpha, str) else float(alpha)),
+                    1.0 / k if eta is None else eta, alpha == "auto")
 
-def refit_lda(batches: Iterable[DataFrame], k: int, **options):
-    """Incremental fit: the model of all batches so far.
 
-    MLlib LDA cannot be started from a fitted model, so the batches are added
-    up and fitted again: the result of a full fit, not of an online update.
+def fit_lda(vectors: DataFrame, k: int, passes: int = 1, chunk: int = 2000, seed: int = 1,
+            decay: float = 0.5, offset: float = 1.0, alpha: str | float = "symmetric",
+            eta: float | None = None, starts: int = 3) -> LdaModel:
+    """Online variational LDA (Hoffman, Blei, Bach 2010), steps of about ``chunk`` documents.
+
+    About one random start in ten ends with two topics merged. ``starts`` of them are
+    fitted together for the first quarter of the passes, then the best goes on. The model (k x terms) is held by the driver and sent to the tasks. Without any
+    document that has a term the topics are as they started.
     """
+    return _run(vectors, lambda size: [_fresh(k, size, seed + i, alpha, eta) for i in range(starts)],
+                passes, chunk, decay, offset, choose=True)[0]
+
+
+def update_lda(model: LdaModel, batch: DataFrame, passes: int = 1, chunk: int = 2000, decay: float = 0.5,
+               offset: float = 1.0) -> LdaModel:
+    """The model after more documents: only ``batch`` is read, the step size falls on from where it was."""
+    return _run(batch, lambda _: [replace(model)], passes, chunk, decay, offset)[0]
+
+
+def refit_lda(batches: Iterable[DataFrame], k: int, **options) -> LdaModel:
+    """All batches so far, fitted again from the start."""
     return fit_lda(reduce(DataFrame.unionByName, batches), k, **options)
 
 
-def lda_topic_term(model) -> DataFrame:
+def _topic_rows(spark: SparkSession, models: list[LdaModel]) -> DataFrame:
+    rows = [(i, j, line.tolist()) for i, model in enumerate(models) for j, line in enumerate(model.topics)]
+    table = spark.createDataFrame(rows, "model_id int, topic_id int, ws array<double>")
+    return table.select("model_id", "topic_id", F.posexplode("ws").alias("term_id", "w")).select(
+        "model_id", "topic_id", F.col("term_id").cast("long").alias("term_id"), "w")
+
+
+def lda_topic_term(model: LdaModel) -> DataFrame:
     """(topic_id, term_id, w): each topic sums to one."""
-    described = model.describeTopics(model.vocabSize())
-    pairs = F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x")
-    return described.select(F.col("topic").alias("topic_id"), pairs).select(
-        "topic_id", F.col("x.termIndices").cast("long").alias("term_id"), F.col("x.termWeights").alias("w"))
+    return _topic_rows(SparkSession.active(), [model]).drop("model_id")
 
 
-def lda_doc_topic(model, vectors: DataFrame, min_probability: float = MIN_PROBABILITY) -> DataFrame:
+def lda_doc_topic(model: LdaModel, vectors: DataFrame, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """(id, topic_id, p): small probabilities are zero; none for empty documents."""
-    shares = model.transform(non_empty(vectors).select("id", "features"))
-    rows = shares.select("id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "p"))
+    alpha, beta = model.alpha, np.exp(_mean_log(model.lam))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches):
+            gamma = _infer(batch["index"], batch["value"], alpha, beta)[0]
+            yield pd.DataFrame({"id": batch["id"], "ps": list(gamma / gamma.sum(axis=1, keepdims=True))})
+
+    shares = _doc_term_rows(vectors).select("id", "index", "value").mapInPandas(
+        solve, f"id {dict(vectors.dtypes)['id']}, ps array<double>")
+    rows = shares.select("id", F.posexplode("ps").alias("topic_id", "p"))
     return rows.withColumn("p", F.when(F.col("p") < min_probability, 0.0).otherwise(F.col("p")))
 
 
-def lda_score(model, vectors: DataFrame) -> float:
-    """Negated perplexity, so that higher is better."""
-    return -(2.0 ** model.logPerplexity(non_empty(vectors).select("features")))
+def lda_score(model: LdaModel, vectors: DataFrame, bow: DataFrame | None = None, terms: DataFrame | None = None,
+              scorer: str = "perplexity") -> float:
+    """Higher is better: negated perplexity, or with ``scorer="u_mass"`` the mean coherence of the
+    top words, counted in ``bow`` (id, term_id, n) with the words of ``terms``."""
+    if scorer == "u_mass":
+        words = top_terms(lda_topic_term(model), terms, 20)
+        return u_mass(bow, words).agg(F.avg("coherence").alias("c")).head().c
+    return -(2.0 ** min(-_bound(_doc_term_rows(vectors), model), 1000.0))
 
 
-def lda_collection(vectors: DataFrame, k: int, seeds: Iterable[int], **options) -> DataFrame:
-    """(model_id, topic_id, term_id, w) of repeated fits over one corpus."""
-    kept = non_empty(vectors).persist()
-    try:
-        parts = [lda_topic_term(fit_lda(kept, k, seed=seed, **options))
-                 .select(F.lit(i).alias("model_id"), "topic_id", "term_id", "w")
-                 for i, seed in enumerate(seeds)]
-    finally:
-        kept.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+def lda_collection(vectors: DataFrame, k: int, seeds: Iterable[int], passes: int = 1, chunk: int = 2000,
+                   decay: float = 0.5, offset: float = 1.0, alpha: str | float = "symmetric",
+                   eta: float | None = None) -> DataFrame:
+    """(model_id, topic_id, term_id, w) of repeated fits; all go over the documents together."""
+    models = _run(vectors, lambda size: [_fresh(k, size, seed, alpha, eta) for seed in seeds],
+                  passes, chunk, decay, offset)
+    return _topic_rows(vectors.sparkSession, models)
 
 
 def topic_sweep(vectors: DataFrame, docs: DataFrame, terms: DataFrame, ks: Iterable[int] = range(5, 16),
-                seed: int = 100, **options) -> DataFrame:
-    """(k, coherence): c_v of a fit per number of topics, one cached corpus."""
-    kept, texts = non_empty(vectors).persist(), docs.select("id", "tokens").persist()
+                seed: int = 100, passes: int = 1, chunk: int = 2000, decay: float = 0.5,
+                offset: float = 1.0) -> DataFrame:
+    """(k, coherence): c_v of a fit per number of topics; all go over the documents together."""
+    ks = list(ks)
+    models = _run(vectors, lambda size: [_fresh(k, size, seed, "symmetric", None) for k in ks],
+                  passes, chunk, decay, offset)
+    texts = docs.select("id", "tokens").persist()
     try:
-        rows = []
-        for k in ks:
-            words = top_terms(lda_topic_term(fit_lda(kept, k, seed=seed, **options)), terms, 20)
-            score = c_v(texts, words).agg(F.avg("coherence").alias("c")).head().c
-            rows.append((k, score))
+        rows = [(k, c_v(texts, top_terms(lda_topic_term(model), terms, 20)).agg(F.avg("coherence").alias("c")).head().c)
+                for k, model in zip(ks, models, strict=True)]
     finally:
-        kept.unpersist()
         texts.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "k int, coherence double")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +52,16 @@ def prune(terms: DataFrame, num_docs: Column | int, no_below: int = NO_BELOW,
     """(term_id, token, df, cf) of the terms kept, ids by falling frequency.
 
     Kept: df >= no_below, df <= no_above * num_docs, the keep_n most frequent.
-    With keep_n the result is bounded by it and may be broadcast. ``terms`` is
-    read more than once: hand in a stored dictionary where it is costly.
+    With keep_n the result is bounded by it and may be broadcast up to
+    ``BROADCAST_ROWS``; a larger one is numbered without a one-task sort. ``terms``
+    is read more than once: hand in a stored dictionary where it is costly.
     """
     total = F.lit(num_docs) if isinstance(num_docs, int) else num_docs
     kept = terms.filter((F.col("df") >= no_below) & (F.col("df") <= total * F.lit(no_above)))
     order = [F.col("df").desc(), F.col("token").asc()]
-    if keep_n is None:
-        return (row_numbers(kept, order, "term_id")
-                .select("term_id", "token", "df", "cf"))
-    if keep_n > BROADCAST_ROWS:
-        raise ValueError(f"keep_n is limited to {BROADCAST_ROWS}; use None for no limit")
+    if keep_n is None or keep_n > BROADCAST_ROWS:
+        numbered = row_numbers(kept, order, "term_id").select("term_id", "token", "df", "cf")
+        return numbered if keep_n is None else numbered.filter(F.col("term_id") < keep_n)
     # Cut by frequency classes first: the top-k then sees little more than keep_n
     # rows instead of keep_n rows of every task.
     level = F.floor(F.log2("df") * 64)
@@ -110,26 +109,28 @@ def tfidf(bow: DataFrame, terms: DataFrame, num_docs: Column | int, bounded: boo
     return raw.select("id", "term_id", (F.col("raw") / length).alias("w"))
 
 
-def weigh(docs: DataFrame, terms: DataFrame, num_docs: Column | int, mode: str = "tfidf") -> DataFrame:
+def weigh(docs: DataFrame, terms: DataFrame, num_docs: Column | int, mode: str = "tfidf",
+          bounded: bool = True) -> DataFrame:
     """(id, term_id, w) in mode ``count``, ``onehot`` or ``tfidf``."""
-    bow = bag_of_words(docs, terms)
+    bow = bag_of_words(docs, terms, bounded)
     if mode == "onehot":
         return one_hot(bow)
     if mode == "tfidf":
-        return tfidf(bow, terms, num_docs)
+        return tfidf(bow, terms, num_docs, bounded)
     return bow.select("id", "term_id", F.col("n").cast("double").alias("w"))
 
 
 def vectors(docs: DataFrame, terms: DataFrame, num_docs: int | None = None, mode: str = "tfidf") -> DataFrame:
-    """(id, features, empty): sparse MLlib vectors by term_id, without a shuffle.
+    """(id, features, empty): sparse MLlib vectors by term_id.
 
     The same weights as :func:`weigh`; ``empty`` marks vectors of length zero.
-    The dictionary is a model here: at most keep_n words, held by the driver
-    and sent to each task.
+    A dictionary of up to ``BROADCAST_ROWS`` words is a model, held by the driver and
+    sent to each task: no shuffle. With a larger one the weights are joined and
+    grouped by document.
     """
     rows = terms.orderBy("term_id").limit(BROADCAST_ROWS + 1).select("token", "df").collect()
     if len(rows) > BROADCAST_ROWS:
-        raise ValueError("prune the dictionary with keep_n first")
+        return _grouped_vectors(docs, terms, num_docs, mode)
     words = [row.token for row in rows]
     total = docs.count() if num_docs is None and mode == "tfidf" else num_docs
     weighty = [row.token for row in rows if mode != "tfidf" or row.df < total]
@@ -147,6 +148,19 @@ def vectors(docs: DataFrame, terms: DataFrame, num_docs: int | None = None, mode
     return scaled.select("id", "features", "empty")
 
 
+def _grouped_vectors(docs: DataFrame, terms: DataFrame, num_docs: int | None, mode: str) -> DataFrame:
+    size = terms.agg(F.max("term_id")).head()[0] + 1
+    total = docs.count() if num_docs is None and mode == "tfidf" else num_docs
+
+    @F.udf(VectorUDT())  # Arrow has no type for vectors
+    def pack(index, value):
+        return Vectors.sparse(size, index or [], value or [])
+
+    arrays = doc_arrays(weigh(docs, terms, total, mode, bounded=False))
+    return docs.select("id").join(arrays, "id", "left").select(
+        "id", pack("index", "value").alias("features"), F.col("index").isNull().alias("empty"))
+
+
 def doc_arrays(doc_term: DataFrame) -> DataFrame:
     """(id, index, value): one row per document, for array work inside tasks."""
     pairs = F.sort_array(F.collect_list(F.struct("term_id", "w")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ EPS, MIN_SAMPLES, MIN_CORES = 0.1, 2, 2
 WIDE_EPS, WIDE_SAMPLES = 0.15, 3
 DECAY = 0.5
 SPLIT_YEAR = 2016
-LDA_OPTIONS = {"passes": 5, "seed": 1}
+LDA_OPTIONS = {"passes": 20, "seed": 1}
 
 
 def query(function: Query) -> Query:
@@ -135,7 +136,7 @@ def model_roundtrip(spark, d):
     model = flows.topic_pipeline(iterations=5).fit(X.texts(spark, d))
     loaded = flows.save_and_load(model, run_path(spark, "model"))
     topic = F.expr("array_position(t, array_max(t)) - 1").cast("int").alias("topic_id")
-    found = loaded.transform(X.texts(spark, d)).select("id", TP.vector_to_array("topicDistribution").alias("t"))
+    found = loaded.transform(X.texts(spark, d)).select("id", vector_to_array("topicDistribution").alias("t"))
     return found.select("id", topic)
 
 
@@ -496,6 +497,14 @@ def lda_refit(spark, d):
     return TP.lda_topic_term(TP.refit_lda(batches, X.TOPICS, **LDA_OPTIONS))
 
 
+@query
+def lda_update(spark, d):
+    vectors, raw = X.model_vectors(spark, d), P.posts(spark, d)
+    model = TP.fit_lda(D.docs_of(vectors, P.in_years(raw, None, SPLIT_YEAR)), X.TOPICS, **LDA_OPTIONS)
+    new = D.docs_of(vectors, P.in_years(raw, SPLIT_YEAR + 1))
+    return TP.lda_topic_term(TP.update_lda(model, new, LDA_OPTIONS["passes"]))
+
+
 @query
 def doc_topics(spark, d):
     return TP.lda_doc_topic(_lda(spark, d), X.model_vectors(spark, d))
@@ -566,12 +575,12 @@ def topic_terms(spark, d):
 
 @query
 def topic_sweep(spark, d):
-    return TP.topic_sweep(X.model_vectors(spark, d), X.docs(spark, d), X.terms(spark, d), range(5, 9), passes=2)
+    return TP.topic_sweep(X.model_vectors(spark, d), X.docs(spark, d), X.terms(spark, d), range(5, 16), passes=20)
 
 
 @query
 def lda_collection(spark, d):
-    return TP.lda_collection(X.model_vectors(spark, d), X.TOPICS, range(3), passes=2)
+    return TP.lda_collection(X.model_vectors(spark, d), X.TOPICS, range(10), passes=20)
 
 
 @query
@@ -621,7 +630,7 @@ def _labelled(spark, d):
 
 @query
 def ensemble_topics(spark, d):
-    stacked = TP.lda_collection(X.model_vectors(spark, d), X.TOPICS, range(4), passes=2)
+    stacked = TP.lda_collection(X.model_vectors(spark, d), X.TOPICS, range(4), passes=20)
     return E.stack(stacked, X.TOPICS)
 
 
@@ -629,7 +638,7 @@ def ensemble_topics(spark, d):
 def ensemble_stable(spark, d):
     """Fit, compare and cluster for real: (label, term_id, w) of the stable topics."""
     corpus = flows.Corpus(X.docs(spark, d), X.terms(spark, d), X.model_vectors(spark, d), X.docs(spark, d).count())
-    return flows.fit_ensemble(corpus, X.TOPICS, X.MODELS, min_samples=2, min_cores=2, passes=2)[-1]
+    return flows.fit_ensemble(corpus, X.TOPICS, X.MODELS, min_samples=2, min_cores=2, passes=20)[-1]
 
 
 @query
