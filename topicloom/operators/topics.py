@@ -23,6 +23,7 @@ from ..runtime import run_path
 from .clusters import non_empty
 from .coherence import c_v, u_mass
 from .pairs import all_pairs, by_row, pair_sums
+from .scale import spread
 from .vectors import doc_arrays
 
 MIN_PROBABILITY = 0.01
@@ -94,16 +95,19 @@ def _infer(index: pd.Series, value: pd.Series, alpha: np.ndarray, beta: np.ndarr
     row, first = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
     words = beta.T[terms]
     gamma = np.ones((len(lengths), len(alpha)))
-    moving = np.ones(len(lengths), dtype=bool)
+    # what is still moving: documents, and the cells that belong to them
+    live, owner, w, b = np.arange(len(lengths)), row, weights, words
     for _ in range(rounds):
-        theta = np.exp(_mean_log(gamma))
-        norm = (theta[row] * words).sum(axis=1) + 1e-100
-        fresh = alpha + theta * np.add.reduceat(words * (weights / norm)[:, None], first, axis=0)
-        change = np.abs(fresh - gamma).mean(axis=1)
-        gamma = np.where(moving[:, None], fresh, gamma)
-        moving &= change >= enough
+        theta = np.exp(_mean_log(gamma[live]))
+        norm = np.einsum("ij,ij->i", theta[owner], b) + 1e-100
+        fresh = alpha + theta * np.add.reduceat(b * (w / norm)[:, None], first, axis=0)
+        moving = np.abs(fresh - gamma[live]).mean(axis=1) >= enough
+        gamma[live] = fresh
         if not moving.any():
             break
+        kept = moving[owner]
+        live, w, b, owner = live[moving], w[kept], b[kept], (np.cumsum(moving) - 1)[owner[kept]]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
     norm = (np.exp(_mean_log(gamma))[row] * words).sum(axis=1) + 1e-100
     return gamma, row, terms, weights, norm
 
@@ -208,11 +212,11 @@ def _run(vectors: DataFrame, start, passes: int, chunk: int, decay: float, offse
     totals = {model.docs + seen.n for model in models}
     steps = math.ceil(seen.n / chunk)
     if steps == 1:
-        stored = rows.persist()
+        stored = spread(rows).persist()
         parts = [stored]
     else:
-        path, spread = run_path(spark, "lda-steps"), F.xxhash64("id", F.lit("step"))
-        dealt = rows.withColumn("step", F.pmod(spread, F.lit(steps)))
+        path = run_path(spark, "lda-steps")
+        dealt = rows.withColumn("step", F.pmod(F.xxhash64("id", F.lit("step")), F.lit(steps)))
         dealt.repartition("step", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("step").parquet(path)
         stored = spark.read.parquet(path)
         parts = [stored.filter(F.col("step") == i) for i in range(steps)]
