@@ -235,6 +235,19 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9]
 
 
+def test_repeated_lines_edited_throughout_share_a_band(spark):
+    rows = []
+    for i in range(24):
+        body = " ".join(f"b{i}w{j}" for j in range(200))
+        for side in "xy":  # every fifth word of a line that stands 50 times differs
+            line = " ".join(f"{side if j % 5 == 0 else 'l'}{i}n{j}" for j in range(20))
+            rows.append((f"{i}{side}", body + f"\n{line}" * 50))
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (text.split() for _, text in rows)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    bands = {r.doc_id: set(r.bands) for r in prob_minhash.sketch(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(bands[f"{i}x"] & bands[f"{i}y"] for i in range(24))
+
+
 def test_leftover_members_meet_the_class_of_the_hub(spark, monkeypatch):
     """h-b-a is a chain, h the hub, a unlike h; d, e and f are alike, and unlike the others."""
     monkeypatch.setattr(prob_minhash, "CHUNK", 2)

@@ -4,15 +4,17 @@ Shingles of five words are weighted by 1 + ln(count). For each of them a Poisson
 whose rate is its weight is run; an arrival picks a register, which keeps the earliest
 arrival it sees. A text's processes end as soon as their next arrival is later than every
 register's. Two texts agree on a register with the probability Jaccard similarity of
-their weighted shingles. Bands of registers are bucketed, and in each bucket the texts
-are compared with the bucket's hub: the member that meets most texts over all its
-buckets, as the source of a family of edited copies does. Comparison is exact: shared
-over all distinct shingles, at least 0.8. Members that are in another class than their
-hub after that are compared with each other and with the members of the hub's class,
-exactly and all of them: they are dealt into cells of at most two chunks of ``CHUNK``
-members, compared inside the cell, and only edges of classes leave it. So the classes are
-those of all links between texts that share a bucket. Links are joined to classes by
-alternating star steps.
+their weighted shingles. The same processes are run with all weights one, too: then it is
+the set Jaccard similarity, which a link asks for, whatever repeats inside the texts.
+Bands of the registers of both are bucketed, and in each bucket the texts are compared
+with the bucket's hub: the member that meets most texts over all its buckets, as the
+source of a family of edited copies does. Comparison is exact: shared over all distinct
+shingles, at least 0.8. Members that are in another class than their hub after that are
+compared with each other and with the members of the hub's class, exactly and all of
+them: they are dealt into cells of at most two chunks of ``CHUNK`` members, compared
+inside the cell, and only edges of classes leave it. So the classes are those of all
+links between texts that share a bucket. Links are joined to classes by alternating star
+steps.
 
 Equal texts are put together first, by a digest, and enter as one.
 
@@ -36,7 +38,7 @@ from .decontaminate import text_words
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
 SHARED, OF = 8, 10
-#: Bands and registers per band: a pair at 0.8 misses all bands once in 70,000.
+#: Bands and registers per band, of either weighting: a pair at 0.8 misses all bands of weight one once in 70,000.
 BANDS, BAND_SIZE = 28, 5
 REGISTERS = BANDS * BAND_SIZE
 #: Members of a bucket that are compared with each other in one piece.
@@ -100,6 +102,23 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total
 
 
+def text_bands(rows: np.ndarray, elements: np.ndarray, times: np.ndarray, n: int) -> pa.ListArray:
+    """Band hashes of n texts: those of weights one, then those of weights by count that differ from them."""
+    plain = band_hashes(signatures(rows, elements, np.ones(len(rows)), n))
+    made = np.concatenate([plain, plain], axis=1)
+    repeats = np.zeros(n, bool)
+    repeats[rows[times > 1]] = True
+    at = repeats[rows]  # without a repeated shingle both weightings are the same
+    if at.any():
+        few = band_hashes(signatures((np.cumsum(repeats) - 1)[rows[at]], elements[at], 1 + np.log(times[at]),
+                                     int(repeats.sum())))
+        made[repeats, BANDS:] = few
+    new = np.repeat((np.bincount(rows, minlength=n) > 0)[:, None], 2 * BANDS, axis=1)
+    new[:, BANDS:] &= made[:, BANDS:] != plain
+    offsets = np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[new].view(np.int64)))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, bands): digest of the text and its band hashes, none without words."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -109,10 +128,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, elements, times = shingles(batch.column(2))
-        made = band_hashes(signatures(rows, elements, 1 + np.log(times), batch.num_rows)).view(np.int64)
-        worded = np.bincount(rows, minlength=batch.num_rows) > 0
-        offsets = np.concatenate([[0], np.cumsum(worded * made.shape[1])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[worded].ravel()))
+        lists = text_bands(rows, elements, times, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "digest", "bands"])
     return B.map_text(docs.filter("doc_id is not null").select("doc_id", digest.alias("digest"), "text"), work,
                       f"doc_id {kind}, digest binary, bands array<long>")
