@@ -280,6 +280,52 @@ def test_secrets():
         assert sorted((k, s, e) for s, e, k in secret_scan.base_spans(t)) == sorted(brute.base_secrets(t))
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body).to_bytes(2, "big").lstrip(b"\0")
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x80 | len(size)]) + size) + body
+
+
+def test_keys_of_every_alphabet_wrapping_and_kind():
+    random = np.random.default_rng(3)
+
+    def number(n):
+        return _der(2, b"\x01" + random.bytes(n - 1))
+
+    def wrapped(data, width=64):
+        body = base64.b64encode(data).decode()
+        return "\n".join(body[i:i + width] for i in range(0, len(body), width))
+
+    def spans(text):
+        return [(text[s:e], k) for s, e, k in secret_scan.all_spans(text)]
+    zero = _der(2, b"\0")
+    for _ in range(200):  # '-' or '_' stands anywhere
+        rsa = _der(0x30, zero, *[number(32) for _ in range(8)])
+        for encode in (base64.urlsafe_b64encode, base64.b64encode):
+            key = encode(rsa).decode()
+            assert spans(f"key: {key} end") == [(key, "der")]
+    dsa = _der(0x30, zero, number(128), number(20), number(128), number(128), number(19))
+    scheme = _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")), _der(0x30))
+    locked = _der(0x30, scheme, _der(4, random.bytes(160)))
+    digest = _der(0x30, _der(0x30, _der(6, bytes.fromhex("608648016503040201"))), _der(4, random.bytes(64)))
+    ssh = secret_scan._SSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") \
+        + b"".join(len(x).to_bytes(4, "big") + x for x in (random.bytes(51), random.bytes(136)))
+    for data, kind in ((rsa, "der"), (dsa, "der"), (locked, "der"), (ssh, "ssh")):
+        one = base64.b64encode(data).decode()
+        assert spans(f"a {one}.") == [(one, kind)]
+        for width in (20, 64, 76):
+            assert spans(f"see\n{wrapped(data, width)}\nwords behind\n{wrapped(data, width)} x") == [(wrapped(data, width), kind)] * 2
+        for label in ("RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY"):
+            pem = f"-----BEGIN {label}-----\nComment: a, b\n\n{wrapped(data)}\n-----END {label}-----"
+            assert spans(f"x {pem} y")[0] == (pem, "pem")
+    assert not spans(base64.b64encode(digest).decode()) and not spans(wrapped(digest))
+    assert not spans(wrapped(rsa)[:-8]) and not spans(wrapped(rsa[:-3]))
+    head = "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC," + "0A" * 16
+    for n, found in ((160, 1), (150, 0)):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\r\n{head}\r\n\r\n{wrapped(random.bytes(n))}\r\n-----END RSA PRIVATE KEY-----"
+        assert spans(pem) == [(pem, "pem")] * found
+
+
 def test_secret_scan_of_tables(spark, docs):
     rows = Q.op9_secrets(spark, DIRECTORY).collect()
     for r in rows:
