@@ -2,6 +2,7 @@
 
 from . import decontaminate as D
 from . import host_rules as H
+from . import vector_codes as V
 from . import warc_writer as W
 
 _SPACE = r"\x20\x09-\x0D"
@@ -57,3 +58,37 @@ SELECT page_id, size AS payload_bytes, sha1(h) AS payload_digest,
     CASE WHEN size >= {W.REVISIT_BYTES} AND latest <> page_id THEN latest END AS refers_to FROM p"""
 
 ORACLES: dict[str, str] = {"op2_host_rules": RULES, "op4_decontamination": CONTAMINATION, "op6_warc": ARCHIVES}
+
+
+def _codes_round(step: int) -> str:
+    """Assignment to codebook ``step`` (cc{step}) and, from it, codebook step + 1."""
+    return f"""
+d{step} AS (SELECT rid, p, j, sum((pc.v - cc.v) * (pc.v - cc.v)) AS d FROM pc JOIN cc{step} cc USING (p, i) GROUP BY rid, p, j),
+a{step} AS (SELECT rid, p, j, d FROM (SELECT *, row_number() OVER (PARTITION BY rid, p ORDER BY d, j) AS r FROM d{step}) WHERE r = 1),
+s{step} AS (SELECT a.p, a.j, pc.i, sum(pc.v) AS s, count(*) AS n FROM a{step} a JOIN pc USING (rid, p) GROUP BY a.p, a.j, pc.i),
+cc{step + 1} AS (SELECT cc.p, cc.j, cc.i, coalesce(floor(s.s::DOUBLE / s.n)::BIGINT, cc.v) AS v
+    FROM cc{step} cc LEFT JOIN s{step} s USING (p, j, i)),"""
+
+
+CODES = f"""
+WITH raw AS (SELECT vec_id, label, embedding AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {V.PARTS} = 0
+    AND list_bool_and(list_transform(embedding, lambda y: y IS NOT NULL AND isfinite(y) AND abs(y) < {V.LIMIT}))),
+ints AS (SELECT vec_id, label, list_transform(x, lambda y: floor(y::DOUBLE * {V.SCALE})::BIGINT) AS e FROM raw),
+dim AS (SELECT len(e) AS d FROM ints ORDER BY vec_id NULLS LAST, e LIMIT 1),
+v AS (SELECT row_number() OVER () AS rid, vec_id, label, e FROM ints, dim WHERE len(e) = dim.d),
+parts AS (SELECT rid, p, list_slice(e, p * (len(e) // {V.PARTS}) + 1, (p + 1) * (len(e) // {V.PARTS})) AS x
+    FROM v, range({V.PARTS}) t(p)),
+pc AS (SELECT rid, p, i, x[i] AS v FROM (SELECT rid, p, x, unnest(range(1, len(x) + 1)) AS i FROM parts)),
+seed AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS j, e FROM v) WHERE j < {V.ENTRIES}),
+cc0 AS (SELECT p, j, i, c[i] AS v FROM (SELECT p, j, c, unnest(range(1, len(c) + 1)) AS i FROM
+    (SELECT p, j, list_slice(e, p * (len(e) // {V.PARTS}) + 1, (p + 1) * (len(e) // {V.PARTS})) AS c
+     FROM seed, range({V.PARTS}) t(p)))),{"".join(_codes_round(k) for k in range(V.ROUNDS))}
+df AS (SELECT rid, p, j, sum((pc.v - cc.v) * (pc.v - cc.v)) AS d FROM pc JOIN cc{V.ROUNDS} cc USING (p, i) GROUP BY rid, p, j),
+af AS (SELECT rid, p, j, d FROM (SELECT *, row_number() OVER (PARTITION BY rid, p ORDER BY d, j) AS r FROM df) WHERE r = 1),
+r AS (SELECT rid, string_agg(lpad(lower(hex(j)), 2, '0'), '' ORDER BY p) AS code, sum(d) AS error FROM af GROUP BY rid),
+h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, j, i)) AS codebooks_sha256 FROM cc{V.ROUNDS})
+SELECT v.vec_id, r.code, r.error::BIGINT AS error, (sum(r.error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+    h.codebooks_sha256 FROM v JOIN r USING (rid), h"""
+
+ORACLES["op13_vector_codes"] = CODES

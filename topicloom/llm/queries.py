@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import run_path
 from . import blocks as B
 from . import bpe_count, context_tree, decontaminate, host_rules, language, pieces, prob_minhash, quality_gam
-from . import secret_scan, warc_writer
+from . import secret_scan, vector_codes, warc_writer
 
 #: Folds: crc32 of the id as text, modulo.
 LABEL_FOLD, TEXT_FOLD, TEXT_HELD = 5, 7, 2
@@ -105,6 +105,12 @@ def op10_language(spark: SparkSession, directory: str) -> DataFrame:
     return with_fold(found, LABEL_FOLD, 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    coded, codebooks = vector_codes.encode(table(spark, directory, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_host_rules": op2_host_rules,
@@ -116,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op13_vector_codes": op13_vector_codes,
 }
