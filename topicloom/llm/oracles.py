@@ -1,6 +1,7 @@
 """SQL equivalents of the operators' queries, where SQL can express them."""
 
 from . import decontaminate as D
+from . import filter_audit as A
 from . import host_rules as H
 from . import vector_codes as V
 from . import warc_writer as W
@@ -92,3 +93,34 @@ SELECT v.vec_id, r.code, r.error::BIGINT AS error, (sum(r.error) OVER (PARTITION
     h.codebooks_sha256 FROM v JOIN r USING (rid), h"""
 
 ORACLES["op13_vector_codes"] = CODES
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^{_SPACE}]+') AS l FROM d),
+lb AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, (len(l) < {A.MIN_WORDS})::INT AS fa, (100 * len(list_distinct(l)) < {A.DISTINCT_PERCENT} * len(l))::INT AS fb,
+    (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {A.UPPER_PERCENT} * length(t))::INT AS fc,
+    regexp_matches(t, '{A.SYMBOLS}')::INT AS fd,
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS fe,
+    coalesce(lb.good, false)::INT AS good, coalesce(lb.toxic, false)::INT AS toxic FROM w LEFT JOIN lb USING (doc_id)),
+mc AS (SELECT part, fa + 2 * fb + 4 * fc + 8 * fd + 16 * fe AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM f GROUP BY ALL),
+lt AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+o AS (SELECT p1.c || p2.c || p3.c || p4.c || p5.c AS filter_order FROM lt p1, lt p2, lt p3, lt p4, lt p5
+    WHERE p1.b + p2.b + p3.b + p4.b + p5.b = 31),
+st AS (SELECT filter_order, step, (SELECT b FROM lt WHERE c = substr(filter_order, step, 1)) AS bit,
+    (SELECT coalesce(sum(b), 0) FROM lt WHERE contains(substr(filter_order, 1, step - 1), c))::INT AS prior
+    FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & prior <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM mc, st GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+    redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+    toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+ORACLES["op11_filter_audit"] = AUDIT

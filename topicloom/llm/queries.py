@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import run_path
 from . import blocks as B
-from . import bpe_count, context_tree, decontaminate, host_rules, language, pieces, prob_minhash, quality_gam
+from . import bpe_count, context_tree, decontaminate, filter_audit, host_rules, language, pieces, prob_minhash, quality_gam
 from . import secret_scan, vector_codes, warc_writer
 
 #: Folds: crc32 of the id as text, modulo.
@@ -105,6 +105,10 @@ def op10_language(spark: SparkSession, directory: str) -> DataFrame:
     return with_fold(found, LABEL_FOLD, 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, directory: str) -> DataFrame:
+    return filter_audit.audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
     coded, codebooks = vector_codes.encode(table(spark, directory, "embeddings"))
     return vector_codes.with_label_error(coded).select(
@@ -122,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
     "op13_vector_codes": op13_vector_codes,
 }
