@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import run_path
 from . import blocks as B
 from . import bpe_count, context_tree, decontaminate, filter_audit, host_rules, language, pieces, prob_minhash, quality_gam
-from . import secret_scan, vector_codes, warc_writer
+from . import secret_scan, token_binary, vector_codes, warc_writer
 
 #: Folds: crc32 of the id as text, modulo.
 LABEL_FOLD, TEXT_FOLD, TEXT_HELD = 5, 7, 2
@@ -109,6 +109,11 @@ def op11_filter_audit(spark: SparkSession, directory: str) -> DataFrame:
     return filter_audit.audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+def op12_token_binary(spark: SparkSession, directory: str) -> DataFrame:
+    model = str(public_tokenizers.path("word_bpe_49k.json"))
+    return token_binary.write_and_read(table(spark, directory, "documents"), model, run_path(spark, "token-shards"))
+
+
 def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
     coded, codebooks = vector_codes.encode(table(spark, directory, "embeddings"))
     return vector_codes.with_label_error(coded).select(
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_binary": op12_token_binary,
     "op13_vector_codes": op13_vector_codes,
 }
