@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators import clusters as C
 from ..operators import coherence as CO
 from ..operators import corpus as D
 from ..operators import ensemble as E
+from ..operators import spherical as SK
 from ..operators import phrases as G
 from ..operators import topics as TP
 from ..operators import vectors as V
@@ -418,10 +420,46 @@ def doc_vectors(spark, d):
 
 # --- clusters ------------------------------------------------------------
 
+def _unit_rows(spark, d):
+    return X.once(spark, d, "unit-rows", lambda: SK.unit_rows(X.tfidf(spark, d)))
+
+
+def _dims(spark, d) -> int:
+    return int(X.tfidf(spark, d).agg(F.coalesce(F.max("term_id") + 1, F.lit(0))).first()[0])
+
+
+_FITS: dict = {}
+
+
+def _spherical(spark, d, ks) -> dict:
+    """Centroids of every k in ``ks``, fitted once per application and input."""
+    key = (spark.sparkContext.applicationId, d, tuple(ks))
+    if key not in _FITS:
+        _FITS[key] = SK.fit(_unit_rows(spark, d), _dims(spark, d), ks)
+    return _FITS[key]
+
+
+def _centroid_rows(spark, centres) -> DataFrame:
+    rows = [(c, int(t), float(centres[c, t])) for c in range(len(centres)) for t in np.flatnonzero(centres[c])]
+    return spark.createDataFrame(rows, "cluster int, term_id long, w double")  # k x dims at most
+
+
 @query
 def kmeans_cosine(spark, d):
-    vectors = X.model_vectors(spark, d)
-    return C.model_centroids(C.fit_kmeans(vectors)).select("cluster", "term_id", r6("w"))
+    centres = _spherical(spark, d, [C.K]).get(C.K, np.zeros((0, 0)))
+    return _centroid_rows(spark, centres).select("cluster", "term_id", r6("w"))
+
+
+@query
+def kmeans_lloyd_steps(spark, d):
+    """Three shared Lloyd passes from the first k documents by id, no repair: the step that SQL repeats."""
+    rows, dims = _unit_rows(spark, d), _dims(spark, d)
+    first = SK._vectors(rows, [r["id"] for r in rows.orderBy("id").limit(C.K).select("id").collect()], dims)
+    start = {C.K: np.vstack([first[i] for i in sorted(first)])} if len(first) == C.K else {}
+    centres = SK.fit(rows, dims, [C.K], iterations=3, start=start, repair=False)
+    if not centres:
+        return spark.createDataFrame([], "id long, cluster int, similarity double")
+    return SK.assign(rows, centres[C.K]).select("id", "cluster", r6("similarity"))
 
 
 @query
@@ -441,8 +479,12 @@ def centroids(spark, d):
 
 @query
 def doc_clusters(spark, d):
-    vectors = X.model_vectors(spark, d)
-    return C.assign(C.fit_kmeans(vectors), vectors)
+    rows = _unit_rows(spark, d)
+    centres = _spherical(spark, d, [C.K])
+    found = SK.assign(rows, centres[C.K]).select("id", "cluster") if centres else \
+        spark.createDataFrame([], "id long, cluster int")
+    rest = X.docs(spark, d).select("id").join(rows, "id", "left_anti").select("id", F.lit(None).cast("int").alias("cluster"))
+    return found.unionByName(rest)
 
 
 @query
@@ -457,9 +499,17 @@ def cluster_merges(spark, d):
     return found.select("step", "left", "right", r6("distance"), "size")
 
 
+def _curves(spark, d) -> list:
+    key = (spark.sparkContext.applicationId, d, "curves")
+    if key not in _FITS:
+        _FITS[key] = SK.curves(_unit_rows(spark, d), _spherical(spark, d, SK.KS), _dims(spark, d))
+    return _FITS[key]
+
+
 @query
 def elbow(spark, d):
-    return C.elbow(X.model_vectors(spark, d))
+    """(k, sse) for k = 2..100, all fitted in the same passes."""
+    return spark.createDataFrame([(k, sse) for k, sse, _ in _curves(spark, d)], "k int, sse double")
 
 
 @query
@@ -470,7 +520,8 @@ def elbow_cost(spark, d):
 
 @query
 def silhouette(spark, d):
-    return C.silhouette(X.model_vectors(spark, d))
+    """(k, score): mean cosine silhouette for k = 2..100 from the same fit as the elbow."""
+    return spark.createDataFrame([(k, score) for k, _, score in _curves(spark, d)], "k int, score double")
 
 
 @query

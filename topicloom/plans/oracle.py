@@ -355,6 +355,24 @@ def halves(keep: str) -> str:
 COSTS = """SELECT t.id, t.cluster, sum(t.w * c.w) AS dot, sqrt(sum(t.w * t.w)) AS dn FROM
     (SELECT * FROM tfidf JOIN clusters USING (id)) t JOIN cent c ON c.cluster = t.cluster AND c.term_id = t.term_id GROUP BY ALL"""
 
+def _lloyd(step: int) -> str:
+    """Assignment to centroids c{step} (most similar, ties to the lower number) and the centroids that follow."""
+    return f"""a{step} AS (SELECT id, cluster, sim FROM (SELECT i.id, k.cluster, round(coalesce(d.dot, 0), 12) AS sim,
+    row_number() OVER (PARTITION BY i.id ORDER BY round(coalesce(d.dot, 0), 12) DESC, k.cluster) AS r
+    FROM (SELECT DISTINCT id FROM u) i CROSS JOIN (SELECT DISTINCT cluster FROM c{step}) k LEFT JOIN
+    (SELECT u.id, c.cluster, sum(u.x * c.c) AS dot FROM u JOIN c{step} c USING (term_id) GROUP BY ALL) d
+    ON d.id = i.id AND d.cluster = k.cluster) WHERE r = 1),
+s{step} AS (SELECT a.cluster, u.term_id, sum(u.x) AS s FROM a{step} a JOIN u USING (id) GROUP BY ALL),
+c{step + 1} AS (SELECT cluster, term_id, s / sqrt(sum(s * s) OVER (PARTITION BY cluster)) AS c FROM s{step}
+    UNION ALL SELECT * FROM c{step} WHERE cluster NOT IN (SELECT cluster FROM s{step}))"""
+
+
+LLOYD = f"""SELECT * FROM (WITH u AS (SELECT id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x FROM tfidf WHERE w <> 0),
+c0 AS (SELECT s.cluster, u.term_id, u.x AS c FROM u JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS cluster
+    FROM (SELECT DISTINCT id FROM u ORDER BY id LIMIT {CLUSTERS})) s USING (id)),
+{", ".join(_lloyd(i) for i in range(4))}
+SELECT id, cluster::INT AS cluster, round(sim, 6) AS similarity FROM a3)"""
+
 BODIES: dict[str, str] = {
     "scan_posts": "SELECT id, title, lang, source, creation_date::VARCHAR AS creation_date, length(body) AS n_chars FROM posts",
     "scan_answers": "SELECT conv_id AS id, turn, text AS body FROM conversations WHERE role = 'assistant'",
@@ -443,6 +461,7 @@ BODIES: dict[str, str] = {
         (SELECT DISTINCT id FROM tfidf ORDER BY id LIMIT {CLUSTERS})) c LEFT JOIN (SELECT x.id, y.id AS cid, sum(x.w * y.w) AS dot
         FROM tfidf x JOIN tfidf y USING (term_id) WHERE y.id IN (SELECT DISTINCT id FROM tfidf ORDER BY id LIMIT {CLUSTERS})
         GROUP BY x.id, y.id) s ON s.id = t.id AND s.cid = c.cid)) WHERE k = 1""",
+    "kmeans_lloyd_steps": LLOYD,
     "centroids": "SELECT cluster, term_id, round(w, 6) AS w FROM cent",
     "cluster_merges": " UNION ALL ".join(
         f"SELECT {s} AS step, a AS \"left\", b AS \"right\", round(distance, 6) AS distance, size FROM m{s}" for s in range(1, CLUSTERS)),
