@@ -97,3 +97,19 @@ def test_tagged_document_round_trip(spark):
     flat = D.flatten(D.parsed(parsed))
     assert flat.count() == 9
     assert D.assemble(flat).head().doc == docs.head().doc
+
+
+def test_lemmas_are_checked_against_the_dictionary(spark):
+    from topicloom.operators import lemmas as LM
+
+    words = ("using use use us caches cache databases database houses house stopped stop stop bigger big "
+             "Running running run").split()
+    tags = ["VBG", "VB", "NN", "PRP", "NNS", "NN", "NNS", "NN", "NNS", "NN", "VBD", "VB", "NN", "JJR", "JJ",
+            "VBG", "VBG", "VB"]
+    rows = spark.createDataFrame([(i, w, t) for i, (w, t) in enumerate(zip(words, tags))], "pos int, token string, tag string")
+    got = {r.token: r.lemma for r in LM.dictionary_lemmas(rows).collect()}
+    assert got["using"] == "use" and got["caches"] == "cache" and got["databases"] == "database"
+    assert got["houses"] == "house" and got["stopped"] == "stop" and got["bigger"] == "big"
+    assert got["Running"] == "Running" and got["running"] == "run"
+    alone = spark.createDataFrame([(0, "quizzes", "NNS")], "pos int, token string, tag string")
+    assert LM.dictionary_lemmas(alone).first().lemma == "quizzes"  # no entry to confirm a candidate

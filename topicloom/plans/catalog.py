@@ -20,6 +20,7 @@ from ..operators import clusters as C
 from ..operators import coherence as CO
 from ..operators import corpus as D
 from ..operators import ensemble as E
+from ..operators import lemmas as LM
 from ..operators import spherical as SK
 from ..operators import phrases as G
 from ..operators import topics as TP
@@ -311,7 +312,8 @@ def drop_short(spark, d):
 
 @query
 def lemmas(spark, d):
-    return D.lemmas(D.tag_tokens(D.tokens(X.texts(spark, d))))
+    """Lemmas checked against the corpus dictionary of the same word class."""
+    return LM.dictionary_lemmas(D.tag_tokens(D.tokens(X.texts(spark, d))))
 
 
 @query

@@ -22,6 +22,7 @@ from ..functions.wordlists import (
     TOKEN_PATTERN,
 )
 from ..operators.analysis import RELABEL
+from ..operators.lemmas import CONSONANTS, DOUBLED, MORPHY
 from .catalog import COUNT, DECAY, EPS, MIN_CORES, MIN_SAMPLES, SPLIT_YEAR, WIDE_EPS, WIDE_SAMPLES
 from .corpora import CLUSTERS, MODELS, TOPICS
 
@@ -68,6 +69,28 @@ def lemma(t: str, g: str) -> str:
             f"WHEN {head} = 'J' THEN {detach('a')} WHEN {head} = 'R' THEN {detach('r')} ELSE {detach('n')} END")
 
 
+def morphy(low: str, cls: str) -> str:
+    """The candidates of :mod:`..operators.lemmas` as a DuckDB list."""
+    made = []
+    for c, rules in MORPHY.items():
+        for suffix, ending in rules:
+            made.append(f"CASE WHEN {cls} = {q(c)} AND ends_with({low}, {q(suffix)}) AND length({low}) > {len(suffix)} "
+                        f"THEN substring({low}, 1, length({low}) - {len(suffix)}) || {q(ending)} END")
+    for c, suffixes in DOUBLED.items():
+        for suffix in suffixes:
+            stem = f"substring({low}, 1, length({low}) - {len(suffix)})"
+            made.append(f"CASE WHEN {cls} = {q(c)} AND ends_with({low}, {q(suffix)}) AND length({stem}) >= 3 "
+                        f"AND substring({stem}, -1, 1) = substring({stem}, -2, 1) AND contains({q(CONSONANTS)}, substring({stem}, -1, 1)) "
+                        f"THEN substring({stem}, 1, length({stem}) - 1) END")
+    return "[" + ", ".join(made) + "]"
+
+
+def irregular(low: str, cls: str) -> str:
+    parts = [f"WHEN {cls} = {q(c)} THEN CASE {low} " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in table.items()) + " END"
+             for c, table in LEMMA_EXCEPTIONS.items() if table]
+    return "CASE " + " ".join(parts) + " END"
+
+
 def plain(c: str) -> str:
     out = f"regexp_replace({c}, {q(H.ANY_TAG)}, '', 'g')"
     for entity, char in ENTITIES:
@@ -426,8 +449,17 @@ BODIES: dict[str, str] = {
     "drop_punct": r"SELECT id, pos, token FROM all_tokens WHERE NOT regexp_matches(token, '^\p{P}*$')",
     "drop_stopwords": f"SELECT id, pos, token FROM all_tokens WHERE lower(token) NOT IN {listed(STOP_WORDS)}",
     "drop_short": "SELECT id, pos, token FROM all_tokens WHERE length(token) <> 1",
-    "lemmas": f"""SELECT id, pos, token, tag, {lemma('token', 'tag')} AS lemma FROM (SELECT id, pos, token, {tag('token')} AS tag
-        FROM all_tokens)""",
+    "lemmas": f"""SELECT * FROM (WITH c AS (SELECT *, lower(token) AS low, CASE substring(tag, 1, 1) WHEN 'V' THEN 'v'
+        WHEN 'R' THEN 'r' WHEN 'J' THEN 'a' ELSE 'n' END AS cls FROM (SELECT id, pos, token, {tag('token')} AS tag FROM all_tokens)),
+        w AS (SELECT low, cls, count(*) AS n, count(*) FILTER (WHERE substring(tag, 1, 1) IN ('N', 'V', 'J', 'R')) AS n_open
+            FROM c GROUP BY ALL),
+        k AS (SELECT low, cls, unnest(list_distinct(list_filter({morphy('low', 'cls')}, lambda x: x IS NOT NULL))) AS cand FROM w),
+        b AS (SELECT low, cls, cand FROM (SELECT k.low, k.cls, k.cand, row_number() OVER (PARTITION BY k.low, k.cls
+            ORDER BY (e.cls = k.cls) DESC, e.n_open DESC, length(k.cand), k.cand) AS r FROM k JOIN w e ON e.low = k.cand
+            WHERE e.n_open > 0) WHERE r = 1),
+        t AS (SELECT w.low, w.cls, coalesce({irregular('w.low', 'w.cls')}, b.cand, w.low) AS lemma FROM w LEFT JOIN b USING (low, cls))
+        SELECT c.id, c.pos, c.token, c.tag, CASE WHEN c.token <> c.low THEN c.token ELSE t.lemma END AS lemma
+        FROM c JOIN t USING (low, cls))""",
     "normalise_docs": """SELECT en.id, coalesce(t.tokens, '') AS tokens FROM en LEFT JOIN
         (SELECT id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM norm GROUP BY id) t USING (id)""",
     "stem_tokens": f"""SELECT id, pos, token, CASE WHEN ends_with(token, 'ies') AND NOT {ends('token', ('eies', 'aies'))}
