@@ -1,6 +1,6 @@
 """Language identification by cross-parsing against suffix automata.
 
-For each language a suffix automaton holds a bounded sample of labelled text. A text is
+For each language a suffix automaton holds a bounded sample of whole labelled texts. A text is
 parsed greedily into the longest phrases that occur in the sample; the fewer phrases,
 the closer the language. The phrase count, times the bits that point into the sample,
 over the text's length is an estimate of its cross entropy; the least one wins.
@@ -20,37 +20,40 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Bound of the labelled sample per language: one excerpt from each of SLOTS documents.
-SLOTS, EXCERPT = 192, 192
+#: Bound of the labelled sample per language: whole texts of at most SLOTS documents, taken
+#: in hash order while their total stays within SAMPLE_CHARS; no text is ever cut.
+SLOTS, SAMPLE_CHARS = 192, 65_536
 PIECE = 256
 UNKNOWN = "und"
 #: Bytes that can be part of a letter after lower-casing.
 _LETTER = B.byte_set(b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
 
 
-def labelled_sample(docs: DataFrame, slots: int = SLOTS, size: int = EXCERPT) -> DataFrame:
-    """(lang, excerpts): a bounded sample per language, the same whatever the order of rows.
+def labelled_sample(docs: DataFrame, slots: int = SLOTS, size: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, texts): a bounded sample of whole texts per language, the same whatever the order of rows.
 
     The ids of a language are dealt into slots by hash and the smallest hash of each
-    slot is taken, so only slots x languages rows meet in an aggregation; excerpts are
-    cut from the middle of those documents.
+    slot is taken, so only slots x languages rows meet in an aggregation. Of those, whole
+    texts are taken in hash order as long as their total length stays within ``size``;
+    a text longer than ``size`` is never taken, and no text is cut.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                       & F.col("text").rlike("\\p{L}"))
+                       & F.col("text").rlike("\\p{L}") & (F.length("text") <= size))
     key = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = rows.groupBy(F.col("lang").alias("_lang"), F.pmod(key, F.lit(slots)).alias("_slot")) \
         .agg(F.min(key).alias("_key")).select("_lang", "_key")
-    from_ = F.greatest(F.lit(1), (F.length("text") - size) / 2).cast("int")
     picked = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (key == F.col("_key")))
-    # repeated ids leave one excerpt
-    cut = picked.groupBy("lang", "_key").agg(F.min(F.col("text").substr(from_, F.lit(size))).alias("_cut"))
-    return cut.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_key", "_cut"))).alias("_rows")) \
-        .select("lang", F.transform("_rows", lambda r: r["_cut"]).alias("excerpts"))
+    # repeated ids leave one text; at most ``slots`` rows a language from here on
+    one = picked.groupBy("lang", "_key").agg(F.min("text").alias("_text"))
+    total = F.sum(F.length("_text")).over(Window.partitionBy("lang").orderBy("_key"))
+    kept = one.withColumn("_total", total).filter(F.col("_total") <= size)
+    return kept.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_key", "_text"))).alias("_rows")) \
+        .select("lang", F.transform("_rows", lambda r: r["_text"]).alias("excerpts"))
 
 
 def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +135,7 @@ class Automaton:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Sample text per language, bounded by SLOTS x EXCERPT characters each."""
+    """Sample text per language: whole texts, at most SAMPLE_CHARS characters each."""
     found = labelled_sample(docs).collect()  # one bounded row per language
     samples = {}
     for row in sorted(found, key=lambda r: r["lang"]):
