@@ -113,3 +113,63 @@ def test_lemmas_are_checked_against_the_dictionary(spark):
     assert got["Running"] == "Running" and got["running"] == "run"
     alone = spark.createDataFrame([(0, "quizzes", "NNS")], "pos int, token string, tag string")
     assert LM.dictionary_lemmas(alone).first().lemma == "quizzes"  # no entry to confirm a candidate
+
+
+def _parser_texts(page):
+    """Element texts by the standard library's HTML parser, for comparison."""
+    from html.parser import HTMLParser
+
+    from topicloom.functions.blocktree import _plain
+    from topicloom.functions.wordlists import BLOCK_TAGS
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.stack, self.done, self.n = [], [], 0
+
+        def _close(self, at):
+            name, order, start = self.stack.pop()
+            self.done.append((order, page[start:at]))
+
+        def _at(self):
+            line, col = self.getpos()
+            return sum(len(x) for x in page.splitlines(keepends=True)[:line - 1]) + col
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in BLOCK_TAGS:
+                return
+            at = self._at()
+            if self.stack and self.stack[-1][0] == "p":
+                self._close(at)
+            if tag == "li" and self.stack and self.stack[-1][0] == "li":
+                self._close(at)
+            self.stack.append((tag, self.n, at + len(self.get_starttag_text())))
+            self.n += 1
+
+        def handle_endtag(self, tag):
+            if tag in BLOCK_TAGS and any(n == tag for n, _, _ in self.stack):
+                at = self._at()
+                while self.stack[-1][0] != tag:
+                    self._close(at)
+                self._close(at)
+    walk = Walk()
+    walk.feed(page)
+    walk.close()
+    while walk.stack:
+        walk._close(len(page))
+    return [t for t in (_plain(x) for _, x in sorted(walk.done)) if t]
+
+
+def test_block_tree_keeps_nested_text(spark):
+    from topicloom.functions.blocktree import block_texts, element_texts
+
+    pages = ["<li>a<p>b</p>middle<p>d</p>tail</li>", "<p>one<p>two<h2>head</h2></p> loose </p>",
+             "<ul><li>x<li>y &amp; z</ul>", "<P class='a'>Up</P><p></p>", "", "no tags", "<p>open to the end",
+             "<div><h1>T</h1><p>a <a href='u'>link</a> b</p></div>\n<li>last</li>"]
+    want = [["abmiddledtail", "b", "d"], ["one", "two", "head"], ["x", "y & z"], ["Up"], [], [], ["open to the end"],
+            ["T", "a link b", "last"]]
+    assert [element_texts(p) for p in pages] == want
+    assert [_parser_texts(p) for p in pages] == want
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages + [None])], "id int, body string") \
+        .select("id", block_texts(F.col("body")).alias("t")).orderBy("id").collect()
+    assert [r.t for r in got] == want + [[]]

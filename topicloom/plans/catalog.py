@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocktree as BT
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import analysis as A
@@ -199,6 +200,12 @@ def paragraphs(spark, d):
     return D.paragraphs(X.pages(spark, d))
 
 
+@query
+def element_texts(spark, d):
+    """(id, para, text): whole inner text of every block element, nested ones included."""
+    return D.unroll(X.pages(spark, d), BT.block_texts(F.col("body")), "para", "text")
+
+
 @query
 def plain_text(spark, d):
     return _body(H.plain_text, spark, d)
