@@ -73,3 +73,15 @@ def test_code_is_prefix_free_and_limited(n):
 def test_query_columns(spark):
     got = Q.op12_token_binary(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_word_coder_equals_the_library():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(MODEL)
+    coder = T.WordCoder(MODEL)
+    texts = [t or "" for t in pq.read_table(f"{os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001')}/documents.parquet",
+                                            columns=["text"]).column(0).to_pylist()]
+    texts += ["İstanbul ΣΟΦΟΣ σοφος.", "a\x1cb\x1f c", "x'sy it's 'LL", "<|endoftext|>ab<|startoftext|> c<|endoftext|>",
+              "é́   x　y z", "😀日本 Aé", "", "   ", "1234 5,6", "a\u0085b c", "<|endoftext|<|endoftext|>>"]
+    assert [coder.encode(t).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]

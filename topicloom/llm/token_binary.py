@@ -1,7 +1,8 @@
 """Token ids in binary shards: canonical length-limited Huffman codes from global counts.
 
-Method. Texts are encoded with a ``tokenizers`` file in bounded blocks and the end id
-is appended; the id rows are written once to the shared folder. Every task counts its
+Method. Texts are encoded as a ``tokenizers`` file does (each distinct white-space chunk
+once per worker, see :class:`WordCoder`) in bounded blocks and the end id is appended;
+the id rows are written once to the shared folder. Every task counts its
 ids (``bincount``) and Spark adds the counts: the driver receives one row per used id,
 bounded by the vocabulary. Huffman code lengths are made from the counts, cut to
 ``MAX_BITS`` by moving leaves down (the adjustment of JPEG, annex K), and canonical
@@ -28,6 +29,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,47 +45,155 @@ from .warc_writer import open_fs
 END_ID = 2
 MAX_BITS = 20
 BLOCK_IDS, CHECK_IDS = 1 << 16, 256
-#: Bytes of ids (as uint16 would be) per shard, and the least number of shards.
-SHARD_IDS = 64 << 20
+#: Bytes of ids (as uint16 would be) per shard; at least one shard per core.
+SHARD_IDS = 16 << 20
 MAGIC = b"TOKHUF01"
-_IDS = "doc_id long, seq long, ids array<int>"
+_IDS = "doc_id long, seq long, n long, ids binary"
 _MANIFEST = "file string, shard int, docs long, ids long, bytes long, sha256 string"
 
-_tokenizers: dict[str, object] = {}
+# The split pattern of the word BPE file's pre-tokenizer (its \s is Unicode
+# White_Space) and the bytes that Python's str.split() takes for white space beyond it.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: Distinct chunks a worker keeps before it empties its table (which changes no result).
+CHUNKS = 500_000
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class WordCoder:
+    """Ids of texts as the tokenizers file gives them, each distinct chunk encoded once.
+
+    The file normalises (NFC, white-space runs to one space, lower case per character)
+    and splits into pre-tokens that never hold white space; its special strings are cut
+    out of the raw text first. So a text's ids are the ids of its special strings and of
+    its white-space separated chunks, in order; a chunk is split into pre-tokens by the
+    same pattern and each pre-token (as byte-level characters) goes to the file's model.
+    Tests hold the result equal to ``encode(text, add_special_tokens=False)``.
+    """
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.special = {t.content: i for i, t in added}
+        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) \
+            if self.special else None
+        self.words = regex.compile(PRE_TOKENS)
+        self.white = regex.compile(r"\p{White_Space}+")
+        bs = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), ord("\xff") + 1)]
+        extra = [b for b in range(256) if b not in bs]
+        chars = {b: chr(b) for b in bs} | {b: chr(256 + i) for i, b in enumerate(extra)}
+        self.byte_chars = str.maketrans({chr(b): c for b, c in chars.items()})  # latin-1 view of the bytes
+        self.chunks: dict[str, array] = {}
+
+    def _miss(self, chunk: str) -> array:
+        if len(self.chunks) >= CHUNKS:
+            self.chunks.clear()
+        found = array("i", [t.id for w in self.words.findall(chunk)
+                            for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))])
+        self.chunks[chunk] = found
+        return found
+
+    def _parts(self, text: str) -> list[str]:
+        """White-space separated chunks of the normalised text."""
+        import unicodedata
+        text = unicodedata.normalize("NFC", text)
+        if any(c in text for c in NOT_WHITE):
+            return [p for p in self.white.sub(" ", text).replace("\u03a3", "\u03c3").lower().split(" ") if p]
+        return text.replace("\u03a3", "\u03c3").lower().split()
+
+    def _plain(self, parts: list[str], out: array) -> None:
+        get, miss, extend = self.chunks.get, self._miss, out.extend
+        for chunk in parts:
+            found = get(chunk)
+            extend(found if found is not None else miss(chunk))
+
+    def encode_many(self, texts: list[str], out: array, ends: array, end_id: int) -> None:
+        """Ids of many texts, each closed by ``end_id``; ``ends`` gets the running lengths."""
+        for ps in map(self._pieces, texts):
+            for k, p in enumerate(ps):
+                if k % 2:
+                    out.append(p)
+                else:
+                    self._plain(p, out)
+            out.append(end_id)
+            ends.append(len(out))
+
+    def _pieces(self, text: str) -> list:
+        """Chunk lists of the plain parts of ``text`` with the special ids between them."""
+        made, at = [], 0
+        for m in (self.cut.finditer(text) if self.cut else ()):
+            made += [self._parts(text[at:m.start()]), self.special[m.group()]]
+            at = m.end()
+        return made + [self._parts(text[at:])]
+
+    def forget(self) -> None:
+        """Empty the table of chunks (at the end of a task: workers live on into other stages)."""
+        self.chunks = {}
+
+    def encode(self, text: str) -> array:
+        """Ids of ``text``."""
+        out = array("i")
+        self.encode_many([text], out, array("i"), -1)
+        return out[:-1]
+
+
+_coders: dict[str, WordCoder] = {}
+
+
+def _coder(path: str) -> WordCoder:
+    if path not in _coders:
+        _coders[path] = WordCoder(path)
+    return _coders[path]
+
+
+def id_type(model: str) -> np.dtype:
+    """Little-endian unsigned integers wide enough for every id of the file."""
+    size = _coder(model).tokenizer.get_vocab_size(with_added_tokens=True)
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
+
+def ids_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, ids per row) of a binary column of packed ids."""
+    if len(column) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind).astype(np.int64), np.diff(bounds) // kind.itemsize
 
 
 def encode_ids(documents: DataFrame, model: str) -> DataFrame:
-    """(doc_id, seq, ids): ids of every text with the end id, written to the shared folder."""
+    """(doc_id, seq, n, ids): ids of every text with the end id, packed as ``id_type``, written once."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("seq"),
                             F.col("text").cast("string").alias("text"))
+    kind = id_type(model)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        found = _tokenizer(model).encode_batch(texts, add_special_tokens=False)
-        lengths = np.array([len(e.ids) + 1 for e in found], np.int32)
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum(lengths, out=offsets[1:])
-        flat = np.full(int(offsets[-1]), END_ID, np.int32)
-        for e, at in zip(found, offsets[:-1]):
-            flat[at:at + len(e.ids)] = e.ids
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(
-            pa.array(offsets), pa.array(flat))], names=["doc_id", "seq", "ids"])
-    return materialise(B.map_text(rows, work, _IDS), "token-ids")
-
-
-def id_counts(coded: DataFrame) -> np.ndarray:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(model)
+        try:
+            for batch in B.blocks(batches, "text"):
+                offsets, flat = array("i", [0]), array("i")
+                coder.encode_many([t or "" for t in batch.column(2).to_pylist()], flat, offsets, END_ID)
+                ends = np.frombuffer(offsets, np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [
+                    None, pa.py_buffer((ends * kind.itemsize).astype(np.int32).tobytes()),
+                    pa.py_buffer(np.frombuffer(flat, np.int32).astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)),
+                                                  packed], names=["doc_id", "seq", "n", "ids"])
+        finally:
+            coder.forget()
+    ship(documents.sparkSession)
+    return materialise(rows.mapInArrow(work, _IDS), "token-ids")
+
+
+def id_counts(coded: DataFrame, kind: np.dtype) -> np.ndarray:
     """Count of every id over all documents (length: largest id + 1)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            flat, _ = ids_of(batch.column(0), kind)
             if len(flat):
                 found = np.bincount(flat)
                 if len(found) > len(total):
@@ -199,13 +309,13 @@ def decode_block(data: bytes, checks: np.ndarray, n: int, ids: np.ndarray, sizes
     return out
 
 
-def write_shards(coded: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
+def write_shards(coded: DataFrame, path: str, lengths: np.ndarray, kind: np.dtype) -> DataFrame:
     """Shards of ``coded`` under ``path`` (a new shared folder) in ascending doc_id order; the manifest."""
     spark = coded.sparkSession
     ship(spark)
     files, root = open_fs(path)
     files.create_dir(root, recursive=True)
-    total = int(coded.select(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+    total = int(coded.select(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     shards = int(max(spark.sparkContext.defaultParallelism, -(-total * 2 // SHARD_IDS)))
     order = [F.col("doc_id").asc_nulls_last(), F.col("seq").asc()]
     dealt = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
@@ -244,11 +354,10 @@ def write_shards(coded: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
                 put(data)
             pending, held = [flat], len(flat)
         for batch in batches:
-            ids = batch.column(2)
+            flat_ids, per_row = ids_of(batch.column(batch.schema.get_field_index("ids")), kind)
             doc_ids.extend(batch.column(0).to_pylist())
-            offsets = ids.offsets.to_numpy()
-            sizes.append(np.diff(offsets).astype(np.int64))
-            pending.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+            sizes.append(per_row)
+            pending.append(flat_ids.astype(np.int32))
             held += len(pending[-1])
             if held >= BLOCK_IDS:
                 flush(False)
@@ -330,6 +439,7 @@ def read_one(fs, name: str, start: int) -> pa.RecordBatch:
 def write_and_read(documents: DataFrame, model: str, path: str) -> DataFrame:
     """Encode, count, code, write the shards under ``path`` and read them back."""
     coded = encode_ids(documents, model)
-    lengths = code_lengths(id_counts(coded))
-    write_shards(coded, path, lengths)
+    kind = id_type(model)
+    lengths = code_lengths(id_counts(coded, kind))
+    write_shards(coded, path, lengths, kind)
     return read_shards(documents.sparkSession, path)
