@@ -202,6 +202,15 @@ def test_archives(spark):
     assert warc_writer.read_archives(spark, path).count() == 0
 
 
+def test_context_tree_stays_finite_and_whole_with_large_counts():
+    # "a" (0x61) has ones: their chance is one in float32 here, and the other outcome's was zero
+    n = 500_000_011
+    rows = [(0, 0, 97, n), (0, 0, 98, 3), (1, 97, 97, n - 7), (1, 97, 98, 2), (1, 98, 98, 1), (1, 98, 97, 2)]
+    tree = context_tree.build_tree(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))
+    assert np.isfinite(tree.logs).all()
+    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     common, own = rng.integers(1, 1 << 49, 80), [rng.integers(1, 1 << 49, 20) for _ in range(2)]
