@@ -173,3 +173,24 @@ def test_block_tree_keeps_nested_text(spark):
     got = spark.createDataFrame([(i, p) for i, p in enumerate(pages + [None])], "id int, body string") \
         .select("id", block_texts(F.col("body")).alias("t")).orderBy("id").collect()
     assert [r.t for r in got] == want + [[]]
+
+
+def test_normalised_docs_work_each_distinct_word_out_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen, rule = [], T.normal_word
+    monkeypatch.setattr(T, "normal_word", lambda token, stop: seen.append(token) or rule(token, stop))
+    known = {}
+    got = T.normal_words(pa.array(["Cats boxes, cats", None, "", "cats boxes"]), frozenset(), known)
+    assert got.to_pylist() == [["cats", "box", "cat"], None, [], ["cat", "box"]]
+    assert sorted(seen) == [",", "Cats", "boxes", "cats"]
+
+
+def test_normalised_docs_follow_the_column_rule(spark):
+    odd = ["The boxes were RUNNING; dashes, wolves & men!", "C++ $$ -- ...x can't foo_bar v2.0 d\u00e9j\u00e0 vu",
+           "42nd 3 _ab __ analyses better best ladies is's bus", "a\u00a0b\u00a0\u00a0c \u2026\u2026 ..\u2028 \u0130stanbul \u039f\u0394\u039f\u03a3",
+           "\u4e00\u4e8c \u00bd\u00bd \u20ac\u20ac x\u0301y ing ed es ss us ches s", "", None]
+    docs = spark.createDataFrame(list(enumerate(odd)) + [(None, "no id here")], "id long, body string")
+    want = docs.select("id", T.normalise_array(T.words(F.col("body"))).alias("tokens")).collect()
+    got = D.normalised_docs(docs).collect()
+    assert {r.id: r.tokens for r in got} == {r.id: r.tokens for r in want} and len(got) == len(odd) + 1
