@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.operators import analysis as A
 from topicloom.operators import clusters as C
 from topicloom.operators import coherence as CO
+from topicloom.operators import ensemble as E
 from topicloom.operators import phrases as G
 from topicloom.operators import topics as TP
 from topicloom.operators import vectors as V
@@ -376,3 +377,53 @@ def test_lda_documents_are_solved_from_their_own_cells():
         solve(index, value, alpha, beta)
         return time.process_time() - began
     assert min(spent(TP._infer) for _ in range(3)) < 0.75 * min(spent(_gathered) for _ in range(3))
+
+
+def test_counts_are_added_up_per_batch(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (1, ["b"]), (None, ["a"]), (3, []), (4, None)],
+                                 "id long, tokens array<string>").coalesce(1)
+    counts = sorted((r.id or 0, r.token, r.n) for r in V.term_counts(docs).collect())
+    assert counts == [(0, "a", 1), (1, "a", 2), (1, "b", 1), (1, "b", 2)]
+    assert {(r.token, r.df, r.cf) for r in V.dictionary(docs).collect()} == {("a", 2, 3), ("b", 2, 3)}
+    grams = {(r.a, r.b, r.n) for r in G.gram_counts(docs).collect()}
+    assert grams == {("a", None, 3), ("b", None, 3), ("a", "b", 2), ("b", "a", 1)}
+    # the words are not unrolled on the JVM, one row each, before they are counted
+    for counted in (V.dictionary(docs), G.gram_counts(docs)):
+        assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrase_hits_by_look_up_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, list("abcab")), (2, list("ba")), (None, list("ab")), (4, [])], "id long, tokens array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c"), ("z", "a")], "a string, b string")
+
+    def hits():
+        return sorted((r.id or 0, r.pos) for r in G.phrase_hits(docs, phrases).collect())
+    found = hits()
+    assert found == [(0, 0), (1, 0), (1, 1), (1, 3)]
+    assert "Generate" not in G.phrase_hits(docs, phrases)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 2)
+    assert hits() == found
+
+
+def test_lda_documents_are_solved_side_by_side():
+    rng = np.random.default_rng(3)
+    beta, alpha = rng.random((4, 300)), np.full(4, 0.25)
+    lengths = [1, 2, 2, 3, 40, 41, 45, 200, 7, 1]
+    index = pd.Series([rng.choice(300, n, replace=False) for n in lengths])
+    value = pd.Series([rng.random(n) for n in lengths])
+    gamma, row, terms, weights, norm = TP._infer(index, value, alpha, beta)
+    for i, n in enumerate(lengths):  # each as if it were alone
+        one = TP._infer(index.iloc[[i]], value.iloc[[i]], alpha, beta)
+        assert np.allclose(gamma[i], one[0][0], rtol=1e-9) and np.allclose(norm[row == i], one[4], rtol=1e-9)
+    # documents of like length share a group, filled up by a third at most
+    first = np.cumsum(lengths) - lengths
+    groups = TP._groups(np.array(lengths), first, beta.T[terms], weights)
+    assert sorted(np.concatenate([g[0] for g in groups]).tolist()) == list(range(len(lengths)))
+    assert len(groups) < len(set(lengths)) and all(g[2].shape[1] <= 1.34 * min(lengths[i] for i in g[0]) for g in groups)
+
+
+def test_fold_in_deals_narrow_rows(spark):
+    weights = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 1, 1.0)], "id long, term_id long, w double")
+    topics = spark.createDataFrame([(0, 0, 0.7), (0, 1, 0.3), (1, 1, 1.0)], "topic_id int, term_id long, w double")
+    plan = E.fold_in(weights, topics, [0, 1], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("RepartitionByExpression [id")
