@@ -85,3 +85,29 @@ def test_word_coder_equals_the_library():
     texts += ["İstanbul ΣΟΦΟΣ σοφος.", "a\x1cb\x1f c", "x'sy it's 'LL", "<|endoftext|>ab<|startoftext|> c<|endoftext|>",
               "é́   x　y z", "😀日本 Aé", "", "   ", "1234 5,6", "a\u0085b c", "<|endoftext|<|endoftext|>>"]
     assert [coder.encode(t).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_each_pre_token_is_given_to_the_model_once():
+    coder = T.WordCoder(MODEL)
+    seen, real = [], coder._word
+    coder._word = lambda w: seen.append(w) or real(w)
+    texts = ["rabbit, (rabbit) rabbit's rabbit", "it's \u00e9t\u00e9, \u00e9t\u00e9. x!'s 12 21"]
+    got = [list(coder.encode(t)) for t in texts]
+    assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) == len(set(seen))
+
+
+def test_blocks_decoded_together():
+    rng = np.random.default_rng(5)
+    counts = np.array([1000, 500, 3, 1, 0, 7])
+    lengths = T.code_lengths(counts)
+    codes = T.canonical_codes(lengths)
+    table = T._windows(*T.decode_table(lengths))
+    want = [rng.choice([0, 1, 2, 3, 5], n) for n in (1024, 1, 300, 256, 77)]
+    data, blocks = b"head", []
+    for ids in want:
+        packed, starts = T.pack_bits(ids, codes, lengths)
+        blocks.append((len(data), len(packed), starts[::T.CHECK_IDS].astype(np.uint32), len(ids)))
+        data += packed
+    got = T.decode_blocks(data, blocks, table)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))

@@ -31,6 +31,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ from .warc_writer import open_fs
 END_ID = 2
 MAX_BITS = 20
 BLOCK_IDS, CHECK_IDS = 1 << 16, 256
+#: Blocks decoded together.
+GROUP_BLOCKS = 16
 #: Bytes of ids (as uint16 would be) per shard; at least one shard per core.
 SHARD_IDS = 16 << 20
 MAGIC = b"TOKHUF01"
@@ -55,8 +58,9 @@ _MANIFEST = "file string, shard int, docs long, ids long, bytes long, sha256 str
 # White_Space) and the bytes that Python's str.split() takes for white space beyond it.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
-#: Distinct chunks a worker keeps before it empties its table (which changes no result).
+#: Distinct chunks and pre-tokens a worker keeps before it empties its table (which changes no result).
 CHUNKS = 500_000
+_ID = attrgetter("id")
 
 
 class WordCoder:
@@ -66,7 +70,7 @@ class WordCoder:
     and splits into pre-tokens that never hold white space; its special strings are cut
     out of the raw text first. So a text's ids are the ids of its special strings and of
     its white-space separated chunks, in order; a chunk is split into pre-tokens by the
-    same pattern and each pre-token (as byte-level characters) goes to the file's model.
+    same pattern and each distinct pre-token (as byte-level characters) goes to the file's model once.
     Tests hold the result equal to ``encode(text, add_special_tokens=False)``.
     """
 
@@ -90,11 +94,25 @@ class WordCoder:
     def _miss(self, chunk: str) -> array:
         if len(self.chunks) >= CHUNKS:
             self.chunks.clear()
-        found = array("i", [t.id for w in self.words.findall(chunk)
-                            for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))])
+        words = [chunk] if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
+        if len(words) == 1:
+            found = self._word(words[0])
+        else:  # a pre-token alone is split into itself, so it has its place in the same table
+            found = array("i")
+            for w in words:
+                ids = self.chunks.get(w)
+                if ids is None:
+                    ids = self.chunks[w] = self._word(w)
+                found.extend(ids)
         self.chunks[chunk] = found
         return found
 
+    def _word(self, word: str) -> array:
+        """Ids of one pre-token from the file's model."""
+        if not (word.isascii() and word.isalpha()):
+            word = word.encode().decode("latin-1").translate(self.byte_chars)
+        return array("i", map(_ID, self.model.tokenize(word)))
+
     def _parts(self, text: str) -> list[str]:
         """White-space separated chunks of the normalised text."""
         import unicodedata
@@ -282,31 +300,46 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
     ends = np.cumsum(size)
     starts = ends - size
     total = int(ends[-1]) if len(ends) else 0
-    owner = np.repeat(np.arange(len(ids)), size)
-    place = np.arange(total) - starts[owner]
-    bits = ((codes[ids][owner] >> (size[owner] - 1 - place)) & 1).astype(np.uint8)
-    return np.packbits(bits).tobytes(), starts
+    # a code lies in the 64 bits from the 32-bit word it starts in; codes share no bit, so sums join them (exact in a double)
+    word = starts >> 5
+    wide = codes[ids] << (64 - size - (starts & 31))
+    length = (total >> 5) + 2
+    words = np.bincount(word, (wide >> 32) & 0xFFFFFFFF, length) + np.bincount(word + 1, wide & 0xFFFFFFFF, length)
+    return words.astype(">u4").tobytes()[:-(-total // 8)], starts
+
+
+def decode_blocks(data: bytes, blocks: list[tuple[int, int, np.ndarray, int]], table: np.ndarray,
+                  max_bits: int = MAX_BITS) -> list[np.ndarray]:
+    """The ids of some blocks (offset in ``data``, bytes, checkpoints, number), all checkpoint segments in lockstep.
+
+    ``table`` has ``id << 8 | length`` per window. A segment that ends early reads on; what it reads is cut off.
+    """
+    low, high = blocks[0][0], blocks[-1][0] + blocks[-1][1]
+    stream = np.frombuffer(data[low:high] + b"\0" * (CHECK_IDS * max_bits // 8 + 8), np.uint8).astype(np.uint32)
+    words = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]  # 32 bits from each byte
+    pos = np.concatenate([(offset - low) * 8 + checks.astype(np.int64) for offset, _, checks, _ in blocks])
+    out = np.zeros((CHECK_IDS, len(pos)), np.int32)
+    rest = np.uint32(32 - max_bits)
+    for k in range(min(CHECK_IDS, max(b[3] for b in blocks))):
+        found = table[(words[pos >> 3] << (pos & 7).astype(np.uint32)) >> rest]
+        out[k] = found >> 8
+        pos += found & 255
+    flat, at, made = out.T.reshape(-1), 0, []
+    for _, _, checks, n in blocks:
+        made.append(flat[at:at + n])
+        at += len(checks) * CHECK_IDS
+    return made
 
 
 def decode_block(data: bytes, checks: np.ndarray, n: int, ids: np.ndarray, sizes: np.ndarray,
                  max_bits: int = MAX_BITS) -> np.ndarray:
-    """The ``n`` ids of one block, all checkpoint segments in lockstep."""
-    stream = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint64)
-    out = np.zeros(n, np.int32)
-    pos = checks.astype(np.int64).copy()
-    first = np.arange(len(checks)) * CHECK_IDS
-    count = np.minimum(CHECK_IDS, n - first)
-    for k in range(int(count.max()) if len(count) else 0):
-        live = count > k
-        p = pos[live]
-        byte = p >> 3
-        word = (stream[byte] << np.uint64(24)) | (stream[byte + 1] << np.uint64(16)) | \
-            (stream[byte + 2] << np.uint64(8)) | stream[byte + 3]
-        window = ((word << (p & 7).astype(np.uint64)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - max_bits)
-        window = window.astype(np.int64)
-        out[first[live] + k] = ids[window]
-        pos[live] = p + sizes[window]
-    return out
+    """The ``n`` ids of one block."""
+    return decode_blocks(data, [(0, len(data), checks, n)], _windows(ids, sizes), max_bits)[0] if n else np.zeros(0, np.int32)
+
+
+def _windows(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``id << 8 | length`` per window of :func:`decode_table`."""
+    return (ids.astype(np.int64) << 8) | sizes
 
 
 def write_shards(coded: DataFrame, path: str, lengths: np.ndarray, kind: np.dtype) -> DataFrame:
@@ -407,7 +440,7 @@ def read_one(fs, name: str, start: int) -> pa.RecordBatch:
         raise ValueError(f"{name} is not a whole shard")
     max_bits, size = struct.unpack_from("<II", data, 8)
     lengths = np.frombuffer(zlib.decompress(data[16:16 + size]), np.uint8).astype(np.int64)
-    ids, sizes = decode_table(lengths, max_bits)
+    table = _windows(*decode_table(lengths, max_bits))
     at_index, at_docs = struct.unpack_from("<QQ", data, len(data) - 24)
     (n_docs,) = struct.unpack_from("<Q", data, at_docs)
     doc_ids = np.frombuffer(data, np.int64, n_docs, at_docs + 8)
@@ -417,11 +450,15 @@ def read_one(fs, name: str, start: int) -> pa.RecordBatch:
     at = at_index + 4
     crcs = np.zeros(n_docs, np.int64)
     doc, inside, crc = 0, 0, 0
+    blocks = []
     for _ in range(n_blocks):
         offset, nbytes, n, nchecks = struct.unpack_from("<QQII", data, at)
-        checks = np.frombuffer(data, np.uint32, nchecks, at + 24)
+        blocks.append((offset, nbytes, np.frombuffer(data, np.uint32, nchecks, at + 24), n))
         at += 24 + 4 * nchecks
-        block = decode_block(data[offset:offset + nbytes], checks, n, ids, sizes, max_bits).astype("<u4")
+    decoded = (ids for g in range(0, n_blocks, GROUP_BLOCKS)
+               for ids in decode_blocks(data, blocks[g:g + GROUP_BLOCKS], table, max_bits))
+    for block in decoded:
+        block, n = block.astype("<u4"), len(block)
         used = 0
         while used < n:  # documents within or across this block
             take = min(int(doc_sizes[doc]) - inside, n - used)
