@@ -264,6 +264,34 @@ def test_gram_in_several_tiles(planted, monkeypatch):
     assert {(r.term_i, r.term_j): round(r.v, 9) for r in TP.gram(weights, 30).collect()} == want
 
 
+def test_gram_rows_are_summed_in_their_task(spark, planted, monkeypatch):
+    from topicloom.operators import pairs
+
+    _, _, _, weights = planted
+    monkeypatch.setattr(pairs, "CELLS", 100)  # three terms a task
+    table = np.zeros((121, 30))
+    for r in weights.collect():
+        table[r.id, r.term_id] = r.w
+    old, new = weights.filter("id < 60"), weights.filter("id >= 60")
+    found = TP.update_gram(TP.gram_of(old, 30), TP.gram_of(new, 30), 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # pairs are neither shuffled nor grouped
+    want = table[:60].T @ table[:60] * 0.25 + table[60:].T @ table[60:]
+    got = {(r.term_i, r.term_j): r.v for r in found.collect()}
+    assert set(got) == {(i, j) for i in range(30) for j in range(i, 30) if want[i, j]}
+    assert all(abs(v - want[i, j]) < 1e-9 for (i, j), v in got.items())
+    tables = TP.update_gram(TP.gram(old, 30), TP.gram(new, 30), 0.5)  # stored tables give the same
+    assert {(r.term_i, r.term_j): round(r.v, 9) for r in tables.collect()} == {k: round(v, 9) for k, v in got.items()}
+
+
+def test_gram_takes_the_last_of_equal_terms(spark):
+    rows = [(1, 0, 1.0), (1, 0, 3.0), (1, 2, 2.0), (2, 0, 5.0), (None, 2, 1.0), (None, 2, 1.0)]
+    got = {(r.term_i, r.term_j): r.v for r in TP.gram(spark.createDataFrame(rows, "id long, term_id long, w double"), 3).collect()}
+    assert got == {(0, 0): 34.0, (0, 2): 6.0, (2, 2): 5.0}
+    none = spark.createDataFrame([], "id long, term_id long, w double")
+    assert TP.gram(none, 0).count() == 0 and TP.gram(none, 3).count() == 0
+
+
 def test_top_words_compat(spark):
     terms = spark.range(40).select(F.col("id").alias("term_id"), F.concat(F.lit("t"), "id").alias("token"))
     table = spark.range(40).select(F.lit(0).alias("topic_id"), F.col("id").alias("term_id"), (1 / (F.col("id") + 1)).alias("w"))

@@ -39,9 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import materialise, open_fs, ship
 from . import blocks as B
-from .warc_writer import open_fs
 
 END_ID = 2
 MAX_BITS = 20

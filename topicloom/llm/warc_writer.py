@@ -26,14 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from ..runtime import materialise, ship
+from ..runtime import materialise, open_fs, ship
 
 REVISIT_BYTES = 1000
 #: Compressed size from which a file is closed.
@@ -46,13 +45,6 @@ _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the U
 _MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 
 
-def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """File system and path of a shared folder's URI."""
-    if path.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
-
-
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, size, refers_to): sha1 digests, and the response of each revisit."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
