@@ -125,3 +125,18 @@ def test_fold_in_converges_to_the_right_topic(spark):
     assert got[1, 0] == pytest.approx(1) and got[2, 1] == pytest.approx(1) and got[3, 0] == pytest.approx(0.5)
     assert (4, 0) not in got
     assert E.perplexity(docs.filter("id = 1"), topic_term, [0, 1], 20).head().perplexity == pytest.approx(1 / 0.9)
+
+
+def test_stacked_topics_read_the_bag_of_words_once(spark, monkeypatch):
+    from topicloom.plans import catalog, corpora
+
+    bag = spark.createDataFrame([(i, i % 5, 1 + i % 3) for i in range(60)] + [(None, 1, 2)], "id long, term_id long, n long")
+    reads = []
+    monkeypatch.setattr(corpora, "bow", lambda *_: reads.append(1) or bag)
+    monkeypatch.setattr(corpora, "size", lambda *_: 5)
+    rows = catalog.add_models(spark, "no such folder")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(
+        ((r.topic, r.term_id, round(r.w, 6)) for r in corpora.fixed_ensemble(bag).collect() if r.topic is not None), key=str)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # the bag of words is not counted again by each reader
+    assert len(reads) == 1
