@@ -211,6 +211,59 @@ def test_context_tree_stays_finite_and_whole_with_large_counts():
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def _recursive_logs(known, asked, depth=context_tree.DEPTH):
+    """log10 of each asked (context, byte) by context-tree weighting over dictionaries, every context kept."""
+    counts = {}
+    for context, byte in known:
+        for d in range(depth + 1):
+            for level in range(8):
+                pair = counts.setdefault((context[depth - d:], level, byte >> 8 - level), [0, 0])
+                pair[byte >> 7 - level & 1] += 1
+    below, keep = Counter(), {}
+    for node in sorted(counts, key=lambda node: -len(node[0])):
+        zero, one = counts[node]
+        own = math.lgamma(zero + .5) + math.lgamma(one + .5) - 2 * math.lgamma(.5) - math.lgamma(zero + one + 1)
+        keep[node] = 1.0
+        if len(node[0]) < depth:
+            keep[node] = 1 / (1 + math.exp(below[node] - own))
+            own = np.logaddexp(own, below[node]) - math.log(2)
+        below[node[0][1:], *node[1:]] += own
+    made = {}
+    for context, byte in asked:
+        total = 0.0
+        for level in range(8):
+            chance, share = 0.0, 1.0
+            for d in range(depth + 1):
+                node = (context[depth - d:], level, byte >> 8 - level)
+                pair = counts.get(node, (0, 0))
+                weight = keep.get(node, 1.0)
+                chance += share * weight * (pair[byte >> 7 - level & 1] + .5) / (sum(pair) + 1)
+                share *= 1 - weight
+            total += math.log10(chance)
+        made[context, byte] = total
+    return made
+
+
+def test_context_tree_keeps_every_context(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqr st"), 800)) for _ in range(22)] + ["", "aaaa aaaa", "Größe 日本", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = frame.filter("doc_id <> 3")
+
+    def grams(text):
+        data = bytes(context_tree.DEPTH) + "".join(c.lower() if c.isascii() else c for c in text or "").encode() + b"\0"
+        return [(data[i:i + context_tree.DEPTH], data[i + context_tree.DEPTH]) for i in range(len(data) - context_tree.DEPTH)]
+    known = [g for i, t in enumerate(texts) if i != 3 for g in grams(t)]
+    assert len({c[5 - d:] for c, _ in known for d in range(6)}) > 32_768  # more than the tree once kept
+    logs = _recursive_logs(known, {g for t in texts for g in grams(t)})
+    for size, lot in ((1 << 17, 8 << 20), (500, 3000)):  # one slice and lot, and many
+        monkeypatch.setattr(context_tree, "SLICE", size, raising=False)
+        monkeypatch.setattr(context_tree, "LOT", lot, raising=False)
+        found = {r.doc_id: r.score for r in context_tree.score(frame, training).collect()}
+        for i, text in enumerate(texts):
+            assert abs(found[i] - sum(logs[g] for g in grams(text))) < 1e-3, i
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     common, own = rng.integers(1, 1 << 49, 80), [rng.integers(1, 1 << 49, 20) for _ in range(2)]
