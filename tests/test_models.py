@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from topicloom.operators import analysis as A
@@ -474,3 +475,32 @@ def test_fold_in_deals_narrow_rows(spark):
     topics = spark.createDataFrame([(0, 0, 0.7), (0, 1, 0.3), (1, 1, 1.0)], "topic_id int, term_id long, w double")
     plan = E.fold_in(weights, topics, [0, 1], 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("RepartitionByExpression [id")
+
+
+def test_lda_step_is_one_job_and_the_online_update(spark):
+    rng, size, k = np.random.default_rng(11), 40, 3
+    rows = [(i, np.sort(rng.choice(size, n, replace=False)), rng.random(n) + 0.1) for i, n in enumerate(rng.integers(1, 20, 90).tolist())]
+    rows += [rows[0], (None, *rows[1][1:])]  # an id twice, and none
+    frame = spark.createDataFrame([(i, Vectors.sparse(size, index.tolist(), value.tolist()), False) for i, index, value in rows],
+                                  ["id", "features", "empty"])
+    start = [TP._fresh(k, size, seed, "symmetric", None) for seed in (1, 2)]
+    models = [TP.replace(model) for model in start]
+    TP._run(frame, lambda _: models, 1, 1000, 0.5, 1.0)
+    for model, before in zip(models, start, strict=True):
+        index, value = (pd.Series([row[j] for row in rows]) for j in (1, 2))
+        beta = np.exp(TP._mean_log(before.lam))
+        theta = np.exp(TP._mean_log(_gathered(index, value, before.alpha, beta)))
+        counts = np.zeros((k, size))
+        for line, at, weight in zip(theta, index, value, strict=True):
+            counts[:, at] += line[:, None] * beta[:, at] * weight / (line @ beta[:, at])
+        assert np.allclose(model.lam, before.eta + counts, rtol=1e-9) and model.steps == 1 and model.docs == len(rows)
+
+    def jobs(passes):
+        group = f"lda-{passes}"
+        spark.sparkContext.setJobGroup(group, group)
+        TP._run(frame, lambda _: [TP.replace(model) for model in start], passes, 30, 0.5, 1.0)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    try:
+        assert jobs(3) - jobs(1) == 2 * 4  # 92 documents are 4 steps a pass: no shuffle within a step
+    finally:
+        spark.sparkContext.setJobGroup("", "")
